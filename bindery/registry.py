@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bindery.plans import hierarchy_queries as h
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p2_found": h.p2_found, "p2_paths": h.p2_paths, "p2_descendants": h.p2_descendants}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(h.SQL)
