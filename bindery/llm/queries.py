@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindery.llm import lookalike
+from bindery.llm import boilerplate, lookalike
 from bindery.session import read
 
 
@@ -22,6 +22,17 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(_records(spark, d))
 
 
+REGION = ["doc_id", "page_index", "revision", "region_id"]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.repeated_lines(read(spark, d, "text_region"), "text", REGION, "site", "doc_id")
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.without_lines(read(spark, d, "text_region"), "text", REGION, p3_found(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
