@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bindery.llm import boilerplate, lookalike
+from bindery.llm import boilerplate, lookalike, mojibake
 from bindery.session import read
 
 
@@ -33,6 +34,22 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_lines(read(spark, d, "text_region"), "text", REGION, p3_found(spark, d))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    key = ["doc_id", "page_index", "revision"]
+    region = read(spark, d, "text_region").select(F.lit("text_region").alias("tab"), *key, F.col("region_id").alias("rec_no"), "text")
+    line = read(spark, d, "text_line").select(F.lit("text_line").alias("tab"), *key, F.col("line_no").alias("rec_no"), "text")
+    return region.unionByName(line)
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d)
+    return mojibake.restored(texts, "text", ["tab", "doc_id", "page_index", "revision", "rec_no"], mojibake.model(texts, "text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_restored(spark, d).select("tab", "doc_id", "page_index", "revision", "rec_no").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
