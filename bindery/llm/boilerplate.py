@@ -1,13 +1,14 @@
 """Problem 3: lines repeated across the documents of one source.
 
 A line's form is its letters: small, without accents, look-alikes mapped,
-nothing else. Forms are grouped by source; a form that stands in two documents
-or more is a seed. Lines with up to two wrong letters are tied to the seeds by
+nothing else. Forms are hashed with their source, and the hashes that stand in
+two documents or more are seeds; of seeds that lie near each other the most
+frequent one leads. Lines with up to two wrong letters are tied to leaders by
 segments: a form of n letters is cut into three parts, and two edits leave one
-of them whole. Forms look their three parts up; seeds are stored under the
+of them whole. Forms look their three parts up; leaders are stored under the
 parts they would have at the lengths n-2..n+2, shifted by up to two letters.
-Levenshtein's distance decides. Documents are counted per seed over all forms
-tied to it, and the lines of seeds in enough documents are joined back.
+Levenshtein's distance decides. Documents are counted per leader over all
+forms tied to it, and the lines of leaders in enough documents are joined back.
 
 A repeated line none of whose copies agree letter by letter in two documents
 has no seed and isn't found.
@@ -26,7 +27,7 @@ from bindery.session import cut
 
 EDITS = 2
 PARTS = EDITS + 1
-SALT = 16
+SLOTS = 1 << 20
 # Ligatures of several letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
@@ -81,17 +82,50 @@ def _part(f: Column, n: Column, i: Column, shift: Column) -> Column:
     return F.xxhash64("_s", n, i, F.substring(f, _start(n, i) + shift + 1, _start(n, i + 1) - _start(n, i)))
 
 
-def tied(forms: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``_h, _seed``: forms within ``EDITS`` edits of a seed of their source, seeds themselves included."""
+def _slots(keys: DataFrame, key: str) -> DataFrame:
+    """The low bits of the keys: at most ``SLOTS`` rows, so they may be broadcast to leave out what can't match."""
+    return F.broadcast(keys.select(F.col(key).bitwiseAND(SLOTS - 1).alias("_slot")).distinct())
+
+
+def _stored(seeds: DataFrame) -> DataFrame:
+    """``_k, _seed``: the hashes of the parts that forms of a near length share with a seed."""
     i = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-    probes = forms.select("_s", "_f", "_h", i.alias("_i")).select("_f", "_h", _part(F.col("_f"), F.length("_f"), F.col("_i"), F.lit(0)).alias("_k"))
     span = F.explode(F.sequence(F.lit(-EDITS), F.lit(EDITS)))
-    stored = seeds.select("_s", F.col("_f").alias("_g"), F.col("_h").alias("_seed"), span.alias("_more")).select("*", span.alias("_shift")).select("*", i.alias("_i"))
-    n = F.length("_g") + F.col("_more")
-    stored = stored.withColumn("_n", n).where((_start(F.col("_n"), F.col("_i")) + F.col("_shift") >= 0) & (_start(F.col("_n"), F.col("_i") + 1) + F.col("_shift") <= F.length("_g")))
-    stored = stored.select("_g", "_seed", _part(F.col("_g"), F.col("_n"), F.col("_i"), F.col("_shift")).alias("_k")).distinct()
-    near = probes.join(stored.hint("shuffle_hash"), "_k").where((F.abs(F.length("_f") - F.length("_g")) <= EDITS) & (F.expr(f"levenshtein(_f, _g, {EDITS})") >= 0))
-    return near.select("_h", "_seed").distinct()
+    x = seeds.select("_s", F.col("_f").alias("_g"), F.col("_h").alias("_seed"), span.alias("_more")).select("*", span.alias("_shift")).select("*", i.alias("_i"))
+    x = x.withColumn("_n", F.length("_g") + F.col("_more"))
+    x = x.where((_start(F.col("_n"), F.col("_i")) + F.col("_shift") >= 0) & (_start(F.col("_n"), F.col("_i") + 1) + F.col("_shift") <= F.length("_g")))
+    return x.select(_part(F.col("_g"), F.col("_n"), F.col("_i"), F.col("_shift")).alias("_k"), "_seed").distinct()
+
+
+def _candidates(at: DataFrame, stored: DataFrame) -> DataFrame:
+    """``_h, _seed``: forms that have a part in common with a seed."""
+    i = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    probes = at.select("_s", "_f", "_h", i.alias("_i")).select("_h", _part(F.col("_f"), F.length("_f"), F.col("_i"), F.lit(0)).alias("_k"))
+    probes = probes.join(_slots(stored, "_k"), F.col("_k").bitwiseAND(SLOTS - 1) == F.col("_slot"), "left_semi")
+    return probes.distinct().join(stored.hint("shuffle_hash"), "_k").select("_h", "_seed").distinct()
+
+
+def _near(f: str, g: str) -> Column:
+    return (F.abs(F.length(f) - F.length(g)) <= EDITS) & (F.expr(f"levenshtein({f}, {g}, {EDITS})") >= 0)
+
+
+def leaders(seeds: DataFrame) -> DataFrame:
+    """Seeds that aren't within ``EDITS`` edits of a more frequent leader; those that are need no parts of their own."""
+    texts = seeds.select("_h", "_f", "_n")
+    pairs = _candidates(seeds, _stored(seeds)).where("_h <> _seed")
+    pairs = pairs.join(texts, "_h").join(texts.select(F.col("_h").alias("_seed"), F.col("_f").alias("_g"), F.col("_n").alias("_m")), "_seed")
+    pairs = cut(pairs.where(_near("_f", "_g") & (F.struct("_m", "_seed") > F.struct("_n", "_h"))).select("_h", "_seed"))
+    if pairs.isEmpty():
+        return seeds
+    out, open_ = None, seeds.select("_h")
+    while True:
+        top = cut(open_.join(pairs, "_h", "left_anti"))
+        out = top if out is None else out.unionByName(top)
+        under = pairs.join(top.select(F.col("_h").alias("_seed")), "_seed", "left_semi").select("_h").distinct()
+        open_ = cut(open_.join(top, "_h", "left_anti").join(under, "_h", "left_anti"))
+        if open_.isEmpty():
+            return seeds.join(out, "_h", "left_semi")
+        pairs = pairs.join(open_, "_h", "left_semi").join(open_.select(F.col("_h").alias("_seed")), "_seed", "left_semi")
 
 
 def repeated_lines(df: DataFrame, text: str, keys: list[str], source: str, doc: str, min_docs: int = 5, min_letters: int = 15) -> DataFrame:
@@ -99,16 +133,22 @@ def repeated_lines(df: DataFrame, text: str, keys: list[str], source: str, doc:
 
     Null texts take no part, an empty table gives an empty result, repeated
     rows count once. A null source counts as a source of its own. ``line_no``
-    counts the pieces between line feeds from 0.
+    counts the pieces between line feeds from 0. Texts aren't shuffled as a
+    whole: lines are counted by hash, and only those that share a part with a
+    seed are compared.
     """
     at = lines(df, text, keys, source, doc, min_letters)
-    forms = cut(at.groupBy("_s", "_f", "_h").agg((F.min("_d") != F.max("_d")).alias("_seed")))
-    pairs = cut(tied(forms, forms.where("_seed")))
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_z")
-    hits = at.select(*keys, "line_no", "_h", "_d", F.pmod("_d", F.lit(SALT)).cast("int").alias("_z")).join(pairs.select("*", salt).hint("shuffle_hash"), ["_h", "_z"])
-    hits = cut(hits.select(*keys, "line_no", "_seed", "_d"))
-    often = hits.groupBy("_seed", "_d").agg(F.lit(1).alias("_1")).groupBy("_seed").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).select("_seed", salt)
-    return hits.withColumn("_z", F.pmod("_d", F.lit(SALT)).cast("int")).join(often, ["_seed", "_z"], "left_semi").select(*keys, "line_no").distinct()
+    twice = at.groupBy("_h").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b"), F.count("*").alias("_n")).where("_a <> _b").select("_h", "_n")
+    twice = cut(twice)
+    found = at.join(_slots(twice, "_h"), F.col("_h").bitwiseAND(SLOTS - 1) == F.col("_slot"), "left_semi")
+    seeds = cut(found.select("_h", "_s", "_f").distinct().join(twice, "_h"))
+    lead = cut(leaders(seeds))
+    texts = lead.select(F.col("_h").alias("_seed"), F.col("_f").alias("_g"))
+    pairs = cut(_candidates(at, cut(_stored(lead))).join(texts, "_seed"))
+    like = at.join(_slots(pairs, "_h"), F.col("_h").bitwiseAND(SLOTS - 1) == F.col("_slot"), "left_semi")
+    hits = cut(like.join(pairs, "_h").where(_near("_f", "_g")).select(*keys, "line_no", "_seed", "_d"))
+    often = hits.groupBy("_seed", "_d").agg(F.lit(1).alias("_1")).groupBy("_seed").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs)
+    return hits.join(often, "_seed", "left_semi").select(*keys, "line_no").distinct()
 
 
 def without_lines(df: DataFrame, text: str, keys: list[str], found: DataFrame) -> DataFrame:
