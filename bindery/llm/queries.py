@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import boilerplate, lookalike, mojibake
+from bindery.llm import boilerplate, leaks, lookalike, mojibake, tokens
 from bindery.session import read
 
 
@@ -50,6 +51,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_restored(spark, d).select("tab", "doc_id", "page_index", "revision", "rec_no").distinct()
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    return os.path.join(os.environ.get("BINDERY_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(read(spark, d, "documents"), "doc_id", "text", tokenizer_path())
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.spans(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_item"), "item_id", ["passage", "question"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
