@@ -68,8 +68,10 @@ def letters(text: Column) -> Column:
 
 def lines(df: DataFrame, text: str, keys: list[str], source: str, doc: str, min_letters: int = 15) -> DataFrame:
     """``keys, line_no, _s`` (source), ``_f`` (form), ``_h`` (hash of both), ``_d`` (hash of the document) of each long enough line."""
-    at = df.where(F.col(text).isNotNull() & (F.length(text) >= min_letters)).select(*keys, F.col(source).alias("_s"), F.xxhash64(doc).alias("_d"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "_l"))
-    at = at.where(F.length("_l") >= min_letters).withColumn("_f", letters(F.col("_l"))).where(F.length("_f") >= min_letters)
+    # the forms are made before the rows are, as a filter on them would be pushed down and make them twice
+    forms = F.transform(F.split(F.col(text), "\n"), letters)
+    at = df.where(F.col(text).isNotNull() & (F.length(text) >= min_letters)).select(*keys, F.col(source).alias("_s"), F.xxhash64(doc).alias("_d"), F.posexplode(forms).alias("line_no", "_f"))
+    at = at.where(F.length("_f") >= min_letters)
     return at.select(*keys, "line_no", F.coalesce("_s", F.lit("")).alias("_s"), "_f", F.xxhash64(F.coalesce("_s", F.lit("")), "_f").alias("_h"), "_d")
 
 
