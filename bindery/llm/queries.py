@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import boilerplate, leaks, lookalike, mojibake, tokens
+from bindery.llm import boilerplate, leaks, lookalike, mojibake, names, tokens
 from bindery.session import read
 
 
@@ -51,6 +51,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_restored(spark, d).select("tab", "doc_id", "page_index", "revision", "rec_no").distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(read(spark, d, "contributor"), "contributor_id", "name")
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(read(spark, d, "contributor"), "contributor_id", "name")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return os.path.join(os.environ.get("BINDERY_TOKENIZERS", "/opt/tokenizers"), name)
 
