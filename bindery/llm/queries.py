@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import boilerplate, leaks, lookalike, mojibake, names, tokens
+from bindery.llm import boilerplate, leaks, lookalike, mojibake, names, subjects, tokens
 from bindery.session import read
 
 
@@ -75,6 +75,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
+def _quoted(spark: SparkSession, d: str) -> list[str]:
+    """Texts of the evaluation items, a fixed table."""
+    rows = read(spark, d, "eval_item").select("passage", "question").toLocalIterator()
+    return sorted({t for r in rows for t in r if t})
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, quoted = read(spark, d, "documents"), _quoted(spark, d)
+    names_ = sorted(r[0] for r in read(spark, d, "subject").select("subject").distinct().toLocalIterator() if r[0])
+    model = subjects.fit(docs, "doc_id", "text", read(spark, d, "subject_label"), "subject", names_, quoted)
+    return subjects.assign(docs, "doc_id", "text", model, quoted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
