@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,15 +16,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
+def _shared(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    where none is set (tests on one machine) a temporary folder is used; on a
-    cluster without a shared folder this raises, since files in a folder local
-    to one machine would be lost with it.
+    Only where none is set (tests on one machine) a temporary folder is used;
+    on a cluster without a shared folder this raises, since files in a folder
+    local to one machine would be lost with it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None:
@@ -29,8 +31,31 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = os.path.join(tempfile.gettempdir(), "bindery-checkpoints")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table written into the shared folder, for as long as the block runs.
+
+    For intermediate results that several jobs read: smaller than a checkpoint
+    and read column by column. What leaves the block must be cut before.
+    """
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
