@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindery.plans import hierarchy_queries as h
+from bindery.plans import QUERIES, SQL
+from bindery.plans import detect_queries, hierarchy_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": h.p2_found, "p2_paths": h.p2_paths, "p2_descendants": h.p2_descendants}
+    h = hierarchy_queries
+    return {"p2_found": h.p2_found, "p2_paths": h.p2_paths, "p2_descendants": h.p2_descendants} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(h.SQL)
+    return hierarchy_queries.SQL | SQL
