@@ -75,7 +75,7 @@ def _forest(links: DataFrame, paths: bool, level: int = 0, before: int | None =
     """
     spark = links.sparkSession
     n = links.count()
-    parts = 1 if level and n <= ROWS_PER_TASK else max(partitions(spark), math.ceil(n / ROWS_PER_TASK))
+    parts = 1 if n <= ROWS_PER_TASK else max(partitions(spark), math.ceil(n / ROWS_PER_TASK))
     if level and before and n > ROWS_PER_TASK and n > 0.7 * before:
         far = links.select("t", F.col("a").alias("b"), F.col("b").alias("b2"), F.col("w").alias("w2"), F.col("seg").alias("seg2"))
         joined = links.join(far, ["t", "b"], "left")
@@ -84,8 +84,9 @@ def _forest(links: DataFrame, paths: bool, level: int = 0, before: int | None =
     split = links.coalesce(1) if parts == 1 else links.repartitionByRange(parts, "t", "ord", "a")
     local = cut(split.mapInPandas(_compress(paths), SCHEMA))
     tops = local.where("a = top and out is not null").select("t", "a", "out", "ord", "step", "path")
-    if parts == 1 and level:
-        over = tops.select("t", F.col("a").alias("top"), F.col("out").alias("end2"), F.col("step").alias("more"), F.lit(False).alias("lost2"), F.lit(False).alias("ring"), F.lit(None).cast("array<string>").alias("path2"))
+    if parts == 1:  # all links were here: what leads out is a top above, or in the first level a missing parent
+        end, more = (F.col("out"), F.col("step")) if level else (F.col("a"), F.lit(0).cast("long"))
+        over = tops.select("t", F.col("a").alias("top"), end.alias("end2"), more.alias("more"), F.lit(not level).alias("lost2"), F.lit(False).alias("ring"), F.lit(None).cast("array<string>").alias("path2"))
         return _apply(local, over, links, level, paths)
     by = local.select("t", F.col("a").alias("out"), F.col("top").alias("b"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.lit(True).alias("hit"))
     met = tops.join(by, ["t", "out"], "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bindery.plans import QUERIES, SQL
-from bindery.plans import detect_queries, hierarchy_queries, mapping_queries, scalar_queries  # noqa: F401
+from bindery.plans import acquire_queries, detect_queries, hierarchy_queries, mapping_queries, metadata_queries, plan_queries, scalar_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,3 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return hierarchy_queries.SQL | SQL
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: which contents entries resolve to which physical page, counted."""
+    return QUERIES["mapping_status_counts"](spark, d)
