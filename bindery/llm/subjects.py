@@ -8,7 +8,8 @@ teach which passages speak of a subject, and which set phrases don't.
 
 Training is synchronous: in each round every partition computes the gradient
 over its documents, the driver adds them up and takes one step. Gradients have
-the size of the model, so what reaches the driver doesn't grow with the data.
+the size of the model (half a megabyte a partition in
+half precision), so what reaches the driver doesn't grow with the data.
 Labelled documents are a sample of at most ``MAX_LABELLED``, in an order by
 hash; every document is scored.
 """
@@ -28,16 +29,16 @@ from bindery.llm.leaks import words
 from bindery.session import cut
 
 MAX_LABELLED = 20_000
-BUCKETS = 1 << 15
+BUCKETS = 1 << 14
 DIM = 16
-ROUNDS = 90
-RATE = 0.05
+ROUNDS = 60
+RATE = 0.07
 DECAY = 1e-5
 PARTS = 8
 QUOTED = 8
 SPREAD = 0.2
 MIN_WORDS = 4
-THRESHOLD = 0.25
+THRESHOLD = 0.0
 CODE = re.compile(r"```.*?(?:```|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|`[^`\n]+`|(?:(?:^|(?<=<p>))(?:    |\t)[^\n]*(?:\n|\Z))+", re.S | re.M)
 BREAK = re.compile(r"(?<=[.!?:])\s+|\n[\s>]*\n|</?(?:p|br|li|ul|ol|blockquote|h\d|div)\b[^<>]*>")
 
@@ -205,12 +206,14 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, sub
             if x:
                 m = Model.__new__(Model)
                 m.e, m.w, m.b = now.value
-                yield pd.DataFrame({"g": [np.concatenate([g.ravel() for g in m.gradient(*x)]).astype(np.float32).tobytes()]})
+                g = np.concatenate([g.ravel() for g in m.gradient(*x)])
+                top = float(np.abs(g).max()) or 1.0
+                yield pd.DataFrame({"top": [top], "g": [(g / top).astype(np.float16).tobytes()]})
 
         total = np.zeros(BUCKETS * DIM + len(subjects) * (DIM + 1), np.float32)
-        for row in data.mapInPandas(gradient, "g binary").collect():
-            total += np.frombuffer(row[0], np.float32)
-        now.unpersist()
+        for row in data.mapInPandas(gradient, "top double, g binary").collect():
+            total += row[0] * np.frombuffer(row[1], np.float16).astype(np.float32)
+        now.destroy()
         a, b = BUCKETS * DIM, BUCKETS * DIM + len(subjects) * DIM
         model.step([total[:a].reshape(BUCKETS, DIM), total[a:b].reshape(-1, DIM), total[b:]])
     return model.bare()
