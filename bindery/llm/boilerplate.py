@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.lookalike import LOOKS
-from bindery.session import cut
+from bindery.session import cut, written
 
 EDITS = 2
 PARTS = EDITS + 1
@@ -139,16 +139,16 @@ def repeated_lines(df: DataFrame, text: str, keys: list[str], source: str, doc:
     whole: lines are counted by hash, and only those that share a part with a
     seed are compared.
     """
-    at = lines(df, text, keys, source, doc, min_letters)
-    twice = at.groupBy("_h").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b"), F.count("*").alias("_n")).where("_a <> _b").select("_h", "_n")
-    twice = cut(twice)
-    found = at.join(_slots(twice, "_h"), F.col("_h").bitwiseAND(SLOTS - 1) == F.col("_slot"), "left_semi")
-    seeds = cut(found.select("_h", "_s", "_f").distinct().join(twice, "_h"))
-    lead = cut(leaders(seeds))
-    texts = lead.select(F.col("_h").alias("_seed"), F.col("_f").alias("_g"))
-    pairs = cut(_candidates(at, cut(_stored(lead))).join(texts, "_seed"))
-    like = at.join(_slots(pairs, "_h"), F.col("_h").bitwiseAND(SLOTS - 1) == F.col("_slot"), "left_semi")
-    hits = cut(like.join(pairs, "_h").where(_near("_f", "_g")).select(*keys, "line_no", "_seed", "_d"))
+    with written(lines(df, text, keys, source, doc, min_letters)) as at:
+        twice = at.groupBy("_h").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b"), F.count("*").alias("_n")).where("_a <> _b").select("_h", "_n")
+        twice = cut(twice)
+        found = at.join(_slots(twice, "_h"), F.col("_h").bitwiseAND(SLOTS - 1) == F.col("_slot"), "left_semi")
+        seeds = cut(found.select("_h", "_s", "_f").distinct().join(twice, "_h"))
+        lead = cut(leaders(seeds))
+        texts = lead.select(F.col("_h").alias("_seed"), F.col("_f").alias("_g"))
+        pairs = cut(_candidates(at, cut(_stored(lead))).join(texts, "_seed"))
+        like = at.join(_slots(pairs, "_h"), F.col("_h").bitwiseAND(SLOTS - 1) == F.col("_slot"), "left_semi")
+        hits = cut(like.join(pairs, "_h").where(_near("_f", "_g")).select(*keys, "line_no", "_seed", "_d"))
     often = hits.groupBy("_seed", "_d").agg(F.lit(1).alias("_1")).groupBy("_seed").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs)
     return hits.join(often, "_seed", "left_semi").select(*keys, "line_no").distinct()
 
