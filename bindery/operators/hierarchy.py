@@ -88,21 +88,27 @@ def _forest(links: DataFrame, paths: bool, level: int = 0, before: int | None =
         end, more = (F.col("out"), F.col("step")) if level else (F.col("a"), F.lit(0).cast("long"))
         over = tops.select("t", F.col("a").alias("top"), end.alias("end2"), more.alias("more"), F.lit(not level).alias("lost2"), F.lit(False).alias("ring"), F.lit(None).cast("array<string>").alias("path2"))
         return _apply(local, over, links, level, paths)
+    own = links.select("t", "a", F.col("seg").alias("own"))
     by = local.select("t", F.col("a").alias("out"), F.col("top").alias("b"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.lit(True).alias("hit"))
-    met = tops.join(by, ["t", "out"], "left")
+    met = cut(tops.join(by, ["t", "out"], "left").join(own, ["t", "a"]))
+    pending = met.where("hit is not null") if level else met
+    none = F.lit(None).cast("array<string>")
+    seg = F.when(F.col("hit").isNotNull(), F.concat(F.slice("path2", 2, F.greatest(F.size("path2") - 1, F.lit(0))), "own")).otherwise(F.col("own")) if paths else none
+    onward = pending.where("hit is null or b is not null").select("t", "a", "b", "ord", (F.col("step") + F.coalesce("up2", F.lit(0))).alias("w"), seg.alias("seg"))
+    # tops that end here and that others lead to go on with them; one that ends in a cycle goes on as a cycle of its own
+    asked = onward.select("t", F.col("b").alias("a")).distinct()
+    ring = pending.where("hit is not null and b is null").select("t", "a", "ord")
+    over = ring.join(asked, ["t", "a"], "left_anti").select("t", F.col("a").alias("top"), F.lit(None).cast("string").alias("end2"), F.lit(0).cast("long").alias("more"), F.lit(False).alias("lost2"), F.lit(True).alias("ring"), none.alias("path2"))
+    onward = onward.unionByName(ring.join(asked, ["t", "a"], "left_semi").select("t", "a", F.col("a").alias("b"), "ord", F.lit(1).cast("long").alias("w"), none.alias("seg")))
     if level:
-        ended = met.where("hit is null").select("t", F.col("a").alias("top"), F.col("out").alias("end2"), F.col("step").alias("more"), F.lit(False).alias("lost2"), F.lit(False).alias("ring"), F.lit(None).cast("array<string>").alias("path2"))
-        pending = met.where("hit is not null")
-    else:
-        ended, pending = None, met
-    seg = F.when(F.col("hit").isNotNull(), F.concat(F.slice("path2", 2, F.greatest(F.size("path2") - 1, F.lit(0))), F.array("a"))) if paths else F.lit(None).cast("array<string>")
-    ring = pending.where("hit is not null and b is null").select("t", F.col("a").alias("top"), F.lit(None).cast("string").alias("end2"), F.lit(0).cast("long").alias("more"), F.lit(False).alias("lost2"), F.lit(True).alias("ring"), F.lit(None).cast("array<string>").alias("path2"))
-    onward = cut(pending.where("hit is null or b is not null").select("t", "a", "b", "ord", (F.col("step") + F.coalesce("up2", F.lit(0))).alias("w"), seg.alias("seg")))
+        ended = met.where("hit is null")
+        over = over.unionByName(ended.join(asked, ["t", "a"], "left_anti").select("t", F.col("a").alias("top"), F.col("out").alias("end2"), F.col("step").alias("more"), F.lit(False).alias("lost2"), F.lit(False).alias("ring"), none.alias("path2")))
+        leave = ended.join(asked, ["t", "a"], "left_semi").select("t", "a", F.col("out").alias("b"), "ord", F.col("step").alias("w"), (F.col("own") if paths else none).alias("seg"))
+        orphans = local.where("a = top and out is null").join(asked, ["t", "a"], "left_semi").select("t", "a", F.lit(None).cast("string").alias("b"), "ord", F.col("step").alias("w"), none.alias("seg"))
+        onward = onward.unionByName(leave).unionByName(orphans)
+    onward = cut(onward)
     above = _forest(onward, paths, level + 1, n).select("t", F.col("a").alias("top"), F.col("end").alias("end2"), F.col("depth").alias("more"), F.col("lost").alias("lost2"), F.col("end").isNull().alias("ring"), F.col("path").alias("path2"))
-    over = above.unionByName(ring)
-    if ended is not None:
-        over = over.unionByName(ended)
-    return _apply(local, over, links, level, paths)
+    return _apply(local, over.unionByName(above), links, level, paths)
 
 
 def _apply(local: DataFrame, over: DataFrame, links: DataFrame, level: int, paths: bool) -> DataFrame:
