@@ -180,7 +180,15 @@ class Model:
     def score(self, token: str) -> float:
         core = token.strip(EDGE)
         s = self.words.get(core)
-        return s if s is not None else self.unknown + self.chars(core)
+        if s is not None:
+            return s
+        small = core.lower()
+        if core.isupper() or core[1:].islower():  # a word that usually has small letters
+            s = self.words.get(small)
+            if s is not None:
+                return s - 1
+        s = self.chars(core)
+        return self.unknown + (max(s, self.chars(small) - 2) if core.isupper() else s)
 
     def best(self, options: list[str]) -> tuple[float, str]:
         return max((self.score(x), x) for x in options)
@@ -227,12 +235,16 @@ class Model:
             states = {o: max((s + (self.pairs.get(p + o) or self.unseen), t + o) for p, (s, t) in states.items()) for o in options}
         return max(states.values())[1]
 
-    def gains(self, token: str) -> tuple[dict[tuple[str, str], tuple[float, str]], bool]:
-        """For each channel what its best reading gains over the word as it is; whether any gains at all."""
-        hit = self.cache.get(token)
+    def gains(self, token: str, every: bool = False) -> tuple[dict[tuple[str, str], tuple[float, str]], bool]:
+        """For each channel what its best reading gains over the word as it is; whether any gains at all.
+
+        Ordinary words have no readings unless ``every`` asks for them, as beside a garbled word.
+        """
+        kept = (token, True) if every else token
+        hit = self.cache.get(kept)
         if hit is None:
             plain = as_seen(token)
-            if ordinary(plain):
+            if not every and ordinary(plain) and not LIGATURE.search(token):
                 hit = ({}, False)
             else:
                 own = max(self.score(x.replace(LOST, "\x00")) for x in {token, plain})
@@ -243,7 +255,7 @@ class Model:
                 hit = (found, any(g > 0 for g, _ in found.values()))
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            self.cache[token] = hit
+            self.cache[kept] = hit
         return hit
 
     def restore(self, text: str) -> str | None:
@@ -252,6 +264,7 @@ class Model:
         scored = [self.gains(t) for t in tokens]
         if not any(s for _, s in scored):
             return None
+        scored = [self.gains(t, True) for t in tokens]
         same = ("", "")
         states = {same: (0.0, ())}
         for found, _ in scored:
@@ -281,6 +294,7 @@ BLANK = " \\t\\n\\r\\x00-\\x08\\u2000-\\u200a\\u202f\\u205f\\u3000"
 IN_WORD = f"(?:[^{BLANK}\\xa0]|(?<=[ÂÃÐÑРСâГ├┬√¬╨╤])\\xa0)"
 WORD = re.compile(f"{IN_WORD}*[^{BLANK}\\xa0\\x00-\\x7f]{IN_WORD}*")
 LATIN = re.compile("[A-Za-z]")
+LIGATURE = re.compile("[ﬀ-ﬆ]")
 SEEN = {ord(a): b for a, b in LOOKS.items() if a not in "Ёё"}
 
 
@@ -294,7 +308,7 @@ def as_seen(token: str) -> str:
 
 
 # small Latin letters with accents standing alone among ASCII, or a word all in Cyrillic of usual case
-ORDINARY = re.compile(r"(?:[\x21-\x7e]|(?<![^\x00-\x7f])[ß-öø-ÿ](?![^\x00-\x7f])|(?<![a-z])[ÀÉÜÖÄÑÎÊÇÁÓÚ](?![a-z]))+|[\x21-\x40]*(?:[А-ЯЁ]?[а-яё]+|[А-ЯЁ]+)[\x21-\x40]*")
+ORDINARY = re.compile(r"(?:[\x21-\x7e]|(?<![^\x00-\x7f])[ß-öø-ÿ](?![^\x00-\x7f])|(?<![a-z])[ÀÉÜÖÄÑÎÊÇÁÓÚ](?![a-z]))+|[\x21-\x40]*[А-ЯЁ]?[а-яё]+[\x21-\x40]*")
 
 
 def ordinary(token: str) -> bool:
