@@ -183,7 +183,7 @@ class Model:
         if s is not None:
             return s
         small = core.lower()
-        if core.isupper() or core[1:].islower():  # a word that usually has small letters
+        if len(core) > 2 and (core.isupper() or core[1:].islower()):  # a word that usually has small letters
             s = self.words.get(small)
             if s is not None:
                 return s - 1
@@ -302,8 +302,9 @@ def as_seen(token: str) -> str:
     """A word without characters that have no shape, width forms and ligatures resolved; in words with Latin letters also look-alikes."""
     token = QUIET.sub("", token)
     token = "".join(unicodedata.normalize("NFKC", ch) if "ﬀ" <= ch <= "ﬆ" or "！" <= ch <= "～" or "Ⅰ" <= ch <= "ⅿ" else ch for ch in token)
-    if LATIN.search(token):
-        token = token.translate(SEEN)
+    seen = token.translate(SEEN)
+    if LATIN.search(token) or seen.isascii():
+        token = seen
     return unicodedata.normalize("NFC", token)
 
 
