@@ -9,7 +9,7 @@ from bindery.operators import mapping, parse
 from bindery.plans import query
 from bindery.plans.detect_queries import LETTERS, REF, TAIL
 from bindery.plans.scalar_queries import KEY, LOW, ROMAN_OK, ROMAN_VALUE, TRIM, toc
-from bindery.session import read
+from bindery.session import cut, read
 from bindery.sources import corpus
 from bindery.sources.corpus import PAGE, SQL_FRAGMENTS, SQL_PAGES, SQL_SPACES
 
@@ -175,7 +175,7 @@ def heading_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mapped(spark: SparkSession, d: str) -> DataFrame:
-    o, b = observations(spark, d), body(spark, d)
+    o, b = cut(observations(spark, d)), body(spark, d)
     return mapping.map_entries(toc(spark, d), mapping.offsets(o, b), o, found_headings(spark, d), b)
 
 
@@ -197,9 +197,10 @@ def mapping_status_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def evidence_requests(spark: SparkSession, d: str) -> DataFrame:
     """Pages that entries point to and that weren't acquired, most wanted first, at most 500 a book as the option says."""
-    o = mapping.offsets(observations(spark, d), body(spark, d))
+    seen = cut(observations(spark, d))
+    o = mapping.offsets(seen, body(spark, d))
     # the best offset asks for pages before it is strong enough to decide
-    a = observations(spark, d).where("style = 'decimal'").join(body(spark, d), "doc_id").where("page_index >= first").select("doc_id", "page_index", (F.col("page_index") - F.col("ordinal")).alias("offset")).distinct()
+    a = seen.where("style = 'decimal'").join(body(spark, d), "doc_id").where("page_index >= first").select("doc_id", "page_index", (F.col("page_index") - F.col("ordinal")).alias("offset")).distinct()
     votes = a.groupBy("doc_id", "page_index").agg(F.count("*").alias("k"), F.min("offset").alias("offset")).where("k = 1").groupBy("doc_id", "offset").agg(F.count("*").alias("support"))
     best = votes.groupBy("doc_id").agg(F.max(F.struct("support", (-F.col("offset")).alias("o"))).alias("m")).select("doc_id", (-F.col("m.o")).alias("offset")).join(o.select("doc_id"), "doc_id")
     want = toc(spark, d).where("numbering = 'decimal'").select("doc_id", "entry_id", "ordinal").distinct().join(best, "doc_id").select("doc_id", (F.col("ordinal") + F.col("offset")).alias("page_index")).where("page_index >= 0")
