@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.leaks import HIDDEN, SEEN
-from bindery.session import cut
+from bindery.session import cut, partitions
 
 EDITS = 2
 PARTS = EDITS + 1
@@ -302,7 +302,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_keys(keys: DataFrame) -> DataFrame:
     """``a, b``: pairs of keys within two edits (one up to six letters), by trie join."""
     x = keys.select("key").mapInPandas(_shards, "shard string, key string, stored boolean")
-    x = x.repartition("shard").sortWithinPartitions("shard", F.desc("stored"))
+    x = x.repartition(partitions(keys.sparkSession), "shard").sortWithinPartitions("shard", F.desc("stored"))
     return x.mapInPandas(_walk, "a string, b string").distinct()
 
 
@@ -347,7 +347,7 @@ def entities(df: DataFrame, key: str, name: str) -> DataFrame:
             got = [r.read(x) for x in b["name"]]
             yield pd.DataFrame([(x, n, *g) for x, n, g in zip(b["name"], b["n"], got) if g], columns=["name", "n", "key", "given", "initials", "short"])
 
-    forms = cut(distinct.mapInPandas(read, "name string, n long, key string, given string, initials string, short boolean"))
+    forms = cut(distinct.repartition(partitions(spark)).mapInPandas(read, "name string, n long, key string, given string, initials string, short boolean"))
     lead = cut(leaders(forms.groupBy("key").agg(F.sum("n").alias("n"))))
     under = forms.join(lead, "key")
     spelled = under.groupBy("lead", "given", "initials", "short").agg(F.sum("n").alias("n"))
@@ -356,7 +356,8 @@ def entities(df: DataFrame, key: str, name: str) -> DataFrame:
         made = classes([(a, b, bool(c), int(d)) for a, b, c, d in zip(g["given"], g["initials"], g["short"], g["n"])])
         return g.assign(group=[made[a, b, bool(c)] for a, b, c in zip(g["given"], g["initials"], g["short"])])[["lead", "given", "initials", "short", "group"]]
 
-    made = spelled.groupBy("lead").applyInPandas(group, "lead string, given string, initials string, short boolean, group string")
+    # a given number of partitions isn't merged by size, which says little of the work here
+    made = spelled.repartition(partitions(spark), "lead").groupBy("lead").applyInPandas(group, "lead string, given string, initials string, short boolean, group string")
     named = under.join(made, ["lead", "given", "initials", "short"]).select("name", F.concat_ws("/", "lead", "group").alias("entity"))
     return rows.join(named, "name").select(F.col("id").cast(kind).alias(key), "name", "entity")
 
