@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions.text import REFERENCE, inline_leader, inline_token, lower_ascii, title_like
+from bindery.session import cut
 from bindery.sources.corpus import PAGE
 
 ALIGN = 18.0
@@ -96,7 +97,7 @@ def page_scores(pages: DataFrame, fragments: DataFrame) -> DataFrame:
     of the width.
     """
     f = fragments.join(pages.select(*PAGE, "width", "height"), PAGE).where("width > 0 and height > 0")
-    rows = reference_rows(f)
+    rows = cut(reference_rows(f))  # read twice; a row for each reference
     cols = columns(rows).join(pages.select(*PAGE, "width"), PAGE)
     per = cols.groupBy(*PAGE).agg(F.sum("n").alias("rows"), F.sum("leaders").alias("leaders"), F.array_sort(F.collect_list(F.col("mean") / F.col("width"))).alias("anchors"))
     merged = rows.groupBy(*PAGE).agg(F.sum(F.col("pieces") - 1).alias("merged"))
@@ -121,6 +122,7 @@ def candidates(scores: DataFrame) -> DataFrame:
     Pages join where at most one skipped page lies between them and their
     anchors agree within .08 of the width. ``scores`` has one row per page.
     """
+    scores = cut(scores.select("doc_id", "page_index", "status", "score", "anchors"))  # read four times; a row for each page
     doc = Window.partitionBy("doc_id").orderBy("page_index")
     around = scores.select("doc_id", (F.col("page_index")).alias("p"), F.col("status").alias("s"))
     c = scores.where("status = 'candidate'").withColumn("prev", F.lag("page_index").over(doc)).withColumn("prev_anchors", F.lag("anchors").over(doc))

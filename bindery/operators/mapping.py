@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions import text as T
+from bindery.session import cut
 from bindery.sources.corpus import PAGE
 
 HEADER, FOOTER = 0.10, 0.15
@@ -45,6 +46,7 @@ def offsets(observations: DataFrame, body: DataFrame) -> DataFrame:
     dominates, the smallest at ties.
     """
     a = observations.where("style = 'decimal'").join(body, "doc_id").where("page_index >= first").select("doc_id", "page_index", (F.col("page_index") - F.col("ordinal")).alias("offset")).distinct()
+    a = cut(a)  # read three times; a row for each page with a number
     per = a.groupBy("doc_id", "page_index").agg(F.count("*").alias("k"), F.min("offset").alias("offset"))
     total = per.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.bool_or(F.col("k") > 1).alias("split"))
     n = a.groupBy("doc_id").agg(F.countDistinct("offset").alias("n_offsets"))
