@@ -21,7 +21,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,6 +33,7 @@ MIN_SHARE = 2e-6
 MIN_COUNT = 3
 ENTER = 4.0
 ENTER_UTF8 = 2.0
+DOUBT = 16.0  # what an ordinary-looking word must gain by a reading that is no word of the corpus
 LOST = "�"
 EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
@@ -133,6 +134,25 @@ def _as_single(run: str, read: str, written: str) -> list[str]:
     return ["".join(out)]
 
 
+@lru_cache(100_000)
+def _of_run(run: str) -> dict[tuple[str, str], list[str]]:
+    """Readings of a run of characters outside ASCII, for each channel that has any; words share few runs."""
+    out = {}
+    for written, reads in CHANNELS.items():
+        for read in reads:
+            found = _as_utf8(run, read) if written == "utf-8" else _as_single(run, read, written) if LOST not in run else []
+            if found:
+                out[written, read] = found
+    return out
+
+
+@lru_cache(100_000)
+def _choices(run: str) -> frozenset[str] | None:
+    """All that a run may have been by encodings of one byte; None if it may be UTF-8."""
+    found = _of_run(run)
+    return None if any(c[0] == "utf-8" for c in found) else frozenset(o for f in found.values() for o in f)
+
+
 class Model:
     """Word and character frequencies of the corpus and the scores built on them; picklable and of bounded size."""
 
@@ -166,13 +186,15 @@ class Model:
     def cleaned(self) -> Model:
         """The model without the garbled words of the corpus: those that gain by a reading under the first counts."""
         total = max(1, len(self.words))
-        kept = {w: math.exp(p) for w, p in self.words.items() if LOST not in w and not any(g > 0 for g, _ in self.gains(w)[0].values())}
+        kept = {w: math.exp(p) for w, p in self.words.items() if LOST not in w and not self.gains(w, known=True)[1]}
         return Model(kept, scale=1 / min(kept.values())) if kept and total else self
 
-    def chars(self, text: str) -> float:
+    def chars(self, text: str, run: str = "") -> float:
+        """Of all pairs of characters in a word, or of those at its one ``run``."""
         s = 0.0
         text = f" {text} "
-        for i in range(len(text) - 1):
+        at = text.index(run) - 1 if run else 0
+        for i in range(at, at + len(run) + 1 if run else len(text) - 1):
             p = text[i : i + 2]
             s += self.pairs[p] if p in self.pairs else math.log(x) if (x := self.single.get(p[1])) else self.unseen
         return s
@@ -190,24 +212,20 @@ class Model:
         s = self.chars(core)
         return self.unknown + (max(s, self.chars(small) - 2) if core.isupper() else s)
 
-    def best(self, options: list[str]) -> tuple[float, str]:
-        return max((self.score(x), x) for x in options)
-
     def readings(self, token: str) -> dict[tuple[str, str], list[str]]:
         """All readings of a word by channel; UTF-8 read wrongly more than once is read back up to three times."""
         runs = RUN.findall(token)
         out = {}
-        for written, reads in CHANNELS.items():
-            for read in reads:
-                found = [_as_utf8(r, read) if written == "utf-8" else _as_single(r, read, written) if LOST not in r else [] for r in runs]
-                if all(found):
-                    made = [""]
-                    at = 0
-                    for r, options in zip(runs, found):
-                        i = token.index(r, at)
-                        made = [m + token[at:i] + o for m in made for o in options]
-                        at = i + len(r)
-                    out[written, read] = [m + token[at:] for m in made]
+        of_run = [_of_run(r) for r in runs]
+        for channel in of_run[0] if of_run else [(w, r) for w, reads in CHANNELS.items() for r in reads]:
+            if all(channel in f for f in of_run[1:]):
+                made = [""]
+                at = 0
+                for r, f in zip(runs, of_run):
+                    i = token.index(r, at)
+                    made = [m + token[at:i] + o for m in made for o in f[channel]]
+                    at = i + len(r)
+                out[channel] = [m + token[at:] for m in made]
         for _ in range(2):
             for read in CHANNELS["utf-8"][:3]:
                 if ("utf-8", read) in out:
@@ -235,24 +253,57 @@ class Model:
             states = {o: max((s + (self.pairs.get(p + o) or self.unseen), t + o) for p, (s, t) in states.items()) for o in options}
         return max(states.values())[1]
 
-    def gains(self, token: str, every: bool = False) -> tuple[dict[tuple[str, str], tuple[float, str]], bool]:
-        """For each channel what its best reading gains over the word as it is; whether any gains at all.
+    def knows(self, token: str) -> bool:
+        core = token.strip(EDGE)
+        return core in self.words or ((core.isupper() or core[1:].islower()) and core.lower() in self.words)
+
+    def price(self, plain: str, reading: str) -> float:
+        """What a reading must gain over an ordinary-looking word, seen as ``plain``, to show that it is garbled."""
+        core = reading.strip(EDGE)
+        if (plain.isascii() and len(plain.strip(EDGE)) == 1) or BOXES.search(core):
+            return math.inf
+        return ENTER if core in self.words else DOUBT
+
+    def may_gain(self, token: str) -> bool:
+        """False if no reading of an ordinary-looking word can reach its ``price``, which saves scoring them.
 
-        Ordinary words have no readings unless ``every`` asks for them, as beside a garbled word.
+        A reading differs in the pairs at its run only, and none scores above
+        0: one that is no word gains at most what these pairs cost now.
+        """
+        runs = RUN.findall(token)
+        core = token.strip(EDGE)
+        choices = _choices(runs[0]) if len(runs) == 1 and SMALL.search(core) else None
+        if choices is None:
+            return True
+        i = token.index(runs[0])
+        before, after = token[:i], token[i + len(runs[0]) :]
+        if any(self.knows(before + o + after) for o in choices):
+            return True
+        return bool(choices) and -self.chars(core, runs[0]) > DOUBT
+
+    def gains(self, token: str, every: bool = False, known: bool = False) -> tuple[dict[tuple[str, str], tuple[float, str]], bool]:
+        """For each channel what its best reading gains over the word as it is; whether that shows a garbled word.
+
+        Any gain does, for words that look ordinary one above ``price``. Those
+        of them that the corpus knows have no readings, unless ``known`` asks
+        for them to clean the corpus, or ``every``, as beside a garbled word.
         """
-        kept = (token, True) if every else token
+        kept = (token, every, known) if every or known else token
         hit = self.cache.get(kept)
         if hit is None:
             plain = as_seen(token)
-            if not every and ordinary(plain) and not LIGATURE.search(token):
+            usual = not every and ordinary(plain) and not LIGATURE.search(token)
+            if usual and (not known and (self.knows(token) or self.knows(plain)) or not self.may_gain(token)):
                 hit = ({}, False)
             else:
                 own = max(self.score(x.replace(LOST, "\x00")) for x in {token, plain})
-                options = {c: self.best(r) for c, r in self.readings(token).items()}
+                read = self.readings(token)
+                scores = {x: self.score(x) for x in {x for r in read.values() for x in r}}  # channels share many readings
+                options = {c: max((scores[x], x) for x in r) for c, r in read.items()}
                 found = {c: (s - own, x) for c, (s, x) in options.items()}
                 if LOST in token:
                     found["lost", ""] = (4 * ENTER, self.lost(token))
-                hit = (found, any(g > 0 for g, _ in found.values()))
+                hit = (found, any(g > (self.price(plain, x) if usual else 0) for g, x in found.values()))
             if len(self.cache) > 300_000:
                 self.cache.clear()
             self.cache[kept] = hit
@@ -295,6 +346,8 @@ IN_WORD = f"(?:[^{BLANK}\\xa0]|(?<=[ÂÃÐÑРСâГ├┬√¬╨╤])\\xa0)"
 WORD = re.compile(f"{IN_WORD}*[^{BLANK}\\xa0\\x00-\\x7f]{IN_WORD}*")
 LATIN = re.compile("[A-Za-z]")
 LIGATURE = re.compile("[ﬀ-ﬆ]")
+SMALL = re.compile("[a-z]")
+BOXES = re.compile("[\u2300-\u25ff]")
 SEEN = {ord(a): b for a, b in LOOKS.items() if a not in "Ёё"}
 
 
