@@ -157,6 +157,18 @@ def _rings(links: DataFrame) -> DataFrame:
     return now.select("t", "a", "least").join(on, ["t", "a"], "left_semi")
 
 
+def _links(df: DataFrame, by: list[str], rec: str, parent: str, order: str | None) -> DataFrame:
+    """The one link of every usable record."""
+    t = F.concat_ws(SEP, *[F.col(c).cast("string") for c in by])
+    usable = F.col(rec).isNotNull()
+    for c in by:
+        usable &= F.col(c).isNotNull()
+    up = F.when(F.col(parent) != "", F.col(parent).cast("string"))
+    near = F.col(order).cast("long") if order else F.lit(0).cast("long")
+    nodes = df.where(usable).select(t.alias("t"), F.col(rec).cast("string").alias("a"), up.alias("b"), F.coalesce(near, F.lit(0)).alias("ord"))
+    return nodes.groupBy("t", "a").agg(F.min(F.struct("b", "ord")).alias("m")).select("t", "a", "m.b", "m.ord", F.lit(1).cast("long").alias("w"), F.array("a").alias("seg"))
+
+
 def hierarchy(df: DataFrame, by: list[str], rec: str, parent: str, order: str | None = None, paths: bool = False) -> DataFrame:
     """Root, depth, state and (if asked for) path of every record of a parent-pointer table.
 
@@ -171,15 +183,7 @@ def hierarchy(df: DataFrame, by: list[str], rec: str, parent: str, order: str |
     with different parents the smallest parent counts, none being smallest. An
     empty table gives an empty result.
     """
-    t = F.concat_ws(SEP, *[F.col(c).cast("string") for c in by])
-    usable = F.col(rec).isNotNull()
-    for c in by:
-        usable &= F.col(c).isNotNull()
-    up = F.when(F.col(parent) != "", F.col(parent).cast("string"))
-    near = F.col(order).cast("long") if order else F.lit(0).cast("long")
-    nodes = df.where(usable).select(t.alias("t"), F.col(rec).cast("string").alias("a"), up.alias("b"), F.coalesce(near, F.lit(0)).alias("ord"))
-    links = nodes.groupBy("t", "a").agg(F.min(F.struct("b", "ord")).alias("m")).select("t", "a", "m.b", "m.ord", F.lit(1).cast("long").alias("w"), F.array("a").alias("seg"))
-    links = cut(links)
+    links = cut(_links(df, by, rec, parent, order))
     all_ = cut(_forest(links, paths))
     state = F.when(F.col("lost"), "orphan").otherwise("tree")
     done = all_.where("end is not null").select("t", "a", F.col("end").alias("root_id"), "depth", state.alias("state"), "path")
@@ -195,11 +199,37 @@ def hierarchy(df: DataFrame, by: list[str], rec: str, parent: str, order: str |
     return done.select(*out, *(["path"] if paths else []))
 
 
-def descendants(tree: DataFrame, by: list[str]) -> DataFrame:
-    """``by, rec_id, descendant, distance`` for each record and each record below it, from ``hierarchy(..., paths=True)``.
+def descendants(tree: DataFrame, by: list[str], states: tuple[str, ...] = ("tree", "orphan")) -> DataFrame:
+    """``by, rec_id, descendant, distance`` for each record and each record of ``states`` below it, from ``hierarchy(..., paths=True)``.
 
-    As many rows as the sum of all depths. Records on cycles have none.
+    As many rows as the sum of these records' depths. What lies on and below
+    cycles is in ``all_descendants``.
     """
     up = F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("_at", "above")
-    x = tree.where("size(path) > 1 and state in ('tree', 'orphan')").select(*by, F.col("rec_id").alias("descendant"), F.size("path").alias("_n"), up)
+    x = tree.where((F.size("path") > 1) & F.col("state").isin(*states)).select(*by, F.col("rec_id").alias("descendant"), F.size("path").alias("_n"), up)
     return x.select(*by, F.col("above").alias("rec_id"), "descendant", (F.col("_n") - 1 - F.col("_at")).alias("distance"))
+
+
+def all_descendants(df: DataFrame, by: list[str], rec: str, parent: str, order: str | None = None) -> DataFrame:
+    """``by, rec_id, descendant, distance`` for each record and each other record from which following parents leads to it.
+
+    ``distance`` counts the links, each record being passed once at most. The
+    records of a cycle so are descendants of each other, and what lies below
+    one of them is below all. A record is no descendant of its own.
+    """
+    tree = cut(hierarchy(df, by, rec, parent, order, paths=True))
+    out = descendants(tree, by, ("tree", "orphan", "below_cycle"))
+    inner = tree.where("state in ('cycle', 'below_cycle')").select(F.concat_ws(SEP, *by).alias("t"), "rec_id", "root_id", "depth", "state", F.col("path")[0].alias("gate"))
+    if inner.isEmpty():
+        return out
+    ring = inner.where("state = 'cycle'").select("t", F.col("rec_id").alias("a"), "root_id")
+    links = _links(df, by, rec, parent, order).join(ring, ["t", "a"])
+    # cut open at its least record, a cycle is a chain whose depths are the places on it
+    chain = cut(links.select("t", "a", F.when(F.col("a") != F.col("root_id"), F.col("b")).alias("b"), "ord", "w", "seg"))
+    place = cut(_forest(chain, False).select("t", F.col("end").alias("root_id"), F.col("a").alias("above"), F.col("depth").alias("place")))
+    size = place.groupBy("t", "root_id").agg(F.count("*").alias("size"))
+    gate = place.select("t", "root_id", F.col("above").alias("gate"), F.col("place").alias("gate_place"))
+    x = inner.join(gate, ["t", "root_id", "gate"]).join(size, ["t", "root_id"]).join(place, ["t", "root_id"]).where("above <> gate")
+    far = F.col("depth") + F.pmod(F.col("gate_place") - F.col("place"), F.col("size"))
+    names = [F.split("t", SEP)[i].alias(c) for i, c in enumerate(by)]
+    return out.unionByName(x.select(*names, F.col("above").alias("rec_id"), F.col("rec_id").alias("descendant"), far.cast("int").alias("distance")))

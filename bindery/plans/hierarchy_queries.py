@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.operators.hierarchy import descendants, hierarchy
+from bindery.operators.hierarchy import all_descendants, descendants, hierarchy
 from bindery.session import read
 
 BY = ["kind", "doc_id"]
@@ -30,6 +30,11 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(hierarchy(outline_records(spark, d), BY, "rec_id", "parent_id", "ord", paths=True), BY)
 
 
+def p2_descendants_all(spark: SparkSession, d: str) -> DataFrame:
+    """``p2_descendants`` with all that lies on and below cycles."""
+    return all_descendants(outline_records(spark, d), BY, "rec_id", "parent_id", "ord")
+
+
 WALK = """
 WITH RECURSIVE r AS (
   SELECT kind, doc_id, rec_id, min(parent_id) AS parent_id, count(parent_id) < count(*) AS top FROM (
@@ -66,4 +71,8 @@ FROM e""",
     + """
 SELECT kind, doc_id, seen[i] AS rec_id, rec_id AS descendant, CAST(i - 1 AS INTEGER) AS distance
 FROM (SELECT *, unnest(range(2, len(seen) + 1)) AS i FROM e WHERE nxt = '' OR NOT list_contains(seen, nxt))""",
+    "p2_descendants_all": WALK
+    + """
+SELECT kind, doc_id, seen[i] AS rec_id, rec_id AS descendant, CAST(i - 1 AS INTEGER) AS distance
+FROM (SELECT *, unnest(range(2, len(seen) + 1)) AS i FROM e)""",
 }

@@ -12,7 +12,7 @@ from bindery.plans import acquire_queries, detect_queries, extra_queries, hierar
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     h = hierarchy_queries
-    return {"p2_found": h.p2_found, "p2_paths": h.p2_paths, "p2_descendants": h.p2_descendants} | QUERIES
+    return {"p2_found": h.p2_found, "p2_paths": h.p2_paths, "p2_descendants": h.p2_descendants, "p2_descendants_all": h.p2_descendants_all} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
