@@ -7,9 +7,9 @@ documents, so a document has a subject if any passage has (noisy or): labels
 teach which passages speak of a subject, and which set phrases don't.
 
 Training is synchronous: in each round every partition computes the gradient
-over its documents, the driver adds them up and takes one step. Gradients have
-the size of the model (half a megabyte a partition in
-half precision), so what reaches the driver doesn't grow with the data.
+over its documents, one task adds them up in the order of the partitions and
+the driver takes one step. Only the sum, of the size of the model (two
+megabytes), reaches the driver, however many partitions or documents there are.
 Labelled documents are a sample of at most ``MAX_LABELLED``, in an order by
 hash; every document is scored.
 """
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +30,16 @@ from bindery.llm.leaks import words
 from bindery.session import cut
 
 MAX_LABELLED = 20_000
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 DIM = 16
-ROUNDS = 60
-RATE = 0.07
+ROUNDS = 90
+RATE = 0.05
 DECAY = 1e-5
 PARTS = 8
 QUOTED = 8
 SPREAD = 0.2
 MIN_WORDS = 4
-THRESHOLD = 0.0
+THRESHOLD = 0.25
 CODE = re.compile(r"```.*?(?:```|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|`[^`\n]+`|(?:(?:^|(?<=<p>))(?:    |\t)[^\n]*(?:\n|\Z))+", re.S | re.M)
 BREAK = re.compile(r"(?<=[.!?:])\s+|\n[\s>]*\n|</?(?:p|br|li|ul|ol|blockquote|h\d|div)\b[^<>]*>")
 
@@ -170,6 +171,16 @@ def _arrays(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np
     return (np.concatenate(flat), np.concatenate(n), np.array(docs), np.stack(y)) if docs else None
 
 
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sum of the partitions' gradients, always in the same order."""
+    rows = sorted((part, g) for b in batches for part, g in zip(b["part"], b["g"]))
+    total = np.zeros(len(rows[0][1]) // 4, np.float32) if rows else None
+    for _, g in rows:
+        total += np.frombuffer(g, np.float32)
+    if rows:
+        yield pd.DataFrame({"g": [total.tobytes()]})
+
+
 def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, subjects: list[str], quoted: list[str]) -> Model:
     """A model trained on the labelled documents.
 
@@ -207,12 +218,9 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, sub
                 m = Model.__new__(Model)
                 m.e, m.w, m.b = now.value
                 g = np.concatenate([g.ravel() for g in m.gradient(*x)])
-                top = float(np.abs(g).max()) or 1.0
-                yield pd.DataFrame({"top": [top], "g": [(g / top).astype(np.float16).tobytes()]})
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "g": [g.astype(np.float32).tobytes()]})
 
-        total = np.zeros(BUCKETS * DIM + len(subjects) * (DIM + 1), np.float32)
-        for row in data.mapInPandas(gradient, "top double, g binary").collect():
-            total += row[0] * np.frombuffer(row[1], np.float16).astype(np.float32)
+        total = np.frombuffer(data.mapInPandas(gradient, "part int, g binary").repartition(1).mapInPandas(_added, "g binary").first()[0], np.float32)
         now.destroy()
         a, b = BUCKETS * DIM, BUCKETS * DIM + len(subjects) * DIM
         model.step([total[:a].reshape(BUCKETS, DIM), total[a:b].reshape(-1, DIM), total[b:]])
