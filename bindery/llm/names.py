@@ -173,6 +173,8 @@ class Reader:
             last = tokens[-1]
             if len(tokens) > 1 and len(last[0]) <= 3 and last[2] and not last[1] and not tokens[0][2] and len(tokens[0][0]) > 3:
                 own, rest = tokens[:-1], [(ch, True, True) for ch in last[0]]
+            elif len(tokens) == 2 and len(tokens[0][0]) == 2 and len(last[0]) <= 2 and last[2] and not tokens[0][2]:
+                own, rest = tokens[:1], [(ch, True, True) for ch in last[0]]
             else:
                 named = [len(t) <= 2 or self.is_given(t) or (dot and len(t) <= 4) for t, dot, _ in tokens]
                 if all(named):
@@ -185,7 +187,7 @@ class Reader:
                 own = [x for x, g in zip(tokens, named) if not g]
                 rest = [x for x, g in zip(tokens, named) if g]
         key = "".join(t for t, _, _ in own)
-        if len(key) < 3:
+        if not key:
             return None
         rest = [(t[0], True, True) if len(t) == 1 else (t, dot, caps) for t, dot, caps in rest]
         spread = []
@@ -211,7 +213,7 @@ class Reader:
         else:
             proper, subject = row[-1], row[j + 1 : -1]
         initials = row[j][0] + "".join(t[0] for t in subject if t not in LINKS)
-        return (proper, "~", initials, False) if len(proper) > 2 else None
+        return (proper, "~", initials, False) if proper else None
 
 
 def same_given(a: str, b: str) -> bool:
@@ -300,8 +302,11 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_keys(keys: DataFrame) -> DataFrame:
-    """``a, b``: pairs of keys within two edits (one up to six letters), by trie join."""
-    x = keys.select("key").mapInPandas(_shards, "shard string, key string, stored boolean")
+    """``a, b``: pairs of keys within two edits (one up to six letters), by trie join.
+
+    Keys of one or two letters are near none: an edit would make any of them another name.
+    """
+    x = keys.select("key").where(F.length("key") > 2).mapInPandas(_shards, "shard string, key string, stored boolean")
     x = x.repartition(partitions(keys.sparkSession), "shard").sortWithinPartitions("shard", F.desc("stored"))
     return x.mapInPandas(_walk, "a string, b string").distinct()
 
