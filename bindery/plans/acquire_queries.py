@@ -169,11 +169,23 @@ def page_selection(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("doc_id", (F.col("n") - 1).alias("page_index")).agg(F.count("*").alias("times"))
 
 
+FILE_CAP = 512 * 1024 * 1024
+
+
 @query()
 def file_identity(spark: SparkSession, d: str) -> DataFrame:
-    """Digest and length of the corpus's small files, of those up to 512 MiB; rows only, as it reads files and not tables."""
-    x = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{d}/book_source.parquet")
-    return x.where(F.col("length") <= 512 * 1024 * 1024).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    """Digest and length of all files of the corpus's tables; rows only, as it reads files and not tables.
+
+    A file above ``FILE_CAP`` is rejected by its length, before anything of
+    it is read: its row has no digest. Empty files, which hold no table, aren't listed.
+    ``file`` is the path below ``d``.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(d)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    x = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(d)
+    file = F.substring("path", len(root) + 2, 1 << 20).alias("file")
+    kept = x.where(F.col("length") <= FILE_CAP).select(file, "length", F.sha2("content", 256).alias("sha256"))
+    return kept.unionByName(x.where(F.col("length") > FILE_CAP).select(file, "length", F.lit(None).cast("string").alias("sha256")))
 
 
 @query(
