@@ -34,6 +34,11 @@ LOOKS = {
 # White space as Unicode defines it, without the control characters that are line ends.
 BLANKS = "\t\n\x0b\x0c\r " + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
+# Tags have no shape but in flags, which they tell apart; Hangul is composed of a varying number of characters.
+FLAGS = r"(\x{1F3F4}[\x{E0020}-\x{E007F}]+)|"
+TAGS = FLAGS + r"[\x{E0000}-\x{E007F}]+"
+LOOSE = FLAGS + r"[\x{1100}-\x{11FF}\x{A960}-\x{A97F}\x{AC00}-\x{D7FB}\x{10000}-\x{1F3F3}\x{1F3F5}-\x{10FFFF}]+"
+
 
 @cache
 def _tables() -> tuple[dict[str, str], dict[str, str], str, str]:
@@ -51,6 +56,7 @@ def _tables() -> tuple[dict[str, str], dict[str, str], str, str]:
             continue
         elif kind in ("<wide", "<narrow") or (kind == "<compat" and (0xFB00 <= n <= 0xFB17 or 0x2160 <= n <= 0x217F or n in (0x2025, 0x2026, 0x0132, 0x0133, 0x01C7, 0x01C8, 0x01C9, 0x01CA, 0x01CB, 0x01CC))):
             (one if len(target) == 1 else many)[ch] = target
+    hidden += [chr(n) for n in (*range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0100, 0xE01F0))]
     hidden += [chr(n) for n in range(32) if chr(n) not in BLANKS] + ["\x7f"]
     for ch, target in LOOKS.items():
         (one if len(target) == 1 else many)[ch] = target
@@ -84,7 +90,7 @@ def coarse_key(text: Column) -> Column:
     source, target = _coarse()
     plain = "".join(x for x in source if x.isascii())
     ascii_only = F.octet_length(text) == F.length(text)
-    return F.xxhash64(F.when(ascii_only, F.translate(text, plain, "")).otherwise(F.translate(text, source, target)))
+    return F.xxhash64(F.when(ascii_only, F.translate(text, plain, "")).otherwise(F.translate(F.regexp_replace(text, LOOSE, "$1"), source, target)))
 
 
 def look(text: Column) -> Column:
@@ -93,6 +99,7 @@ def look(text: Column) -> Column:
     out = F.translate(text, "".join(one) + hidden, "".join(one.values()))
     for ch, target in many.items():
         out = F.replace(out, F.lit(ch), F.lit(target))
+    out = F.regexp_replace(out, TAGS, "$1")
     return F.trim(F.regexp_replace(out, f"[{BLANKS}]+", " "))
 
 
