@@ -1,8 +1,11 @@
 """Problems 1, 3 and 4 on small fixtures."""
 
+import random
+
 import pytest
 
 from bindery.llm import boilerplate, lookalike, mojibake
+from bindery.session import written
 
 REC = "doc_id string, rec string, text string"
 
@@ -63,39 +66,79 @@ def test_repeated_lines(spark):
     assert found(regions(spark, [])) == set()
 
 
-def test_repeated_lines_against_brute_force(spark):
-    import itertools
-    import random
+def dist(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def all_pairs(rows, min_docs=5):
+    """Lines near a form in whose neighbourhood enough documents stand, by comparing all forms with all."""
+    form = {(s, d, i, n): f for s, d, i, t in rows for n, x in enumerate(t.split("\n")) if len(f := "".join(c for c in x.lower() if c.isalpha())) >= 15}
+    near = {k: [j for j, g in form.items() if j[0] == k[0] and dist(f, g) <= 2] for k, f in form.items()}
+    centres = [k for k, js in near.items() if len({j[1] for j in js}) >= min_docs]
+    return {j[1:] for k in centres for j in near[k]}
 
-    r = random.Random(5)
-    bases = ["quiet archives lend their maps to anyone", "please return the lantern before the thaw", "the harbour office keeps a copy of this", "another sentence that is long enough here"]
+
+def noisy_rows(seed, sizes, letters=None):
+    r = random.Random(seed)
+    bases = ["quiet archives lend their maps to anyone", "please return the lantern before the thaw", "the harbour office keeps a copy of this", "another sentence that is long enough here", "a short line, this one"]
     rows = []
-    for b, base in enumerate(bases):
-        for d in range(4 + b):
+    for b, (base, size) in enumerate(zip(bases, sizes)):
+        for d in range(size):
             t = list(base)
-            for _ in range(r.choice([0, 0, 0, 1, 2])):
+            for _ in range(r.choice([0, 0, 0, 1, 2] if letters is None else letters)):
                 k = r.randrange(len(t))
                 t[k : k + 1] = r.choice(["", "q", t[k] + "z"])
-            rows.append(("s", f"d{d}", b * 20 + d, "".join(t)))
-    df = regions(spark, rows)
-
-    def dist(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            new = [i + 1]
-            for j, y in enumerate(b):
-                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
-            row = new
-        return row[-1]
-
-    form = {(d, i): "".join(c for c in t if c.isalpha()) for _, d, i, t in rows}
-    seeds = {f for (a, f), (b, g) in itertools.permutations([(d, f) for (d, _), f in form.items()], 2) if f == g and a != b}
-    want = set()
-    for s in seeds:
-        near = [k for k, f in form.items() if dist(f, s) <= 2]
-        if len({d for d, _ in near}) >= 5:
-            want |= {(d, i, 0) for d, i in near}
-    assert found(df) == want and want
+            rows.append((r.choice("ssst"), f"d{d}", b * 100 + d, "".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("seed, sizes, letters", [(5, [4, 5, 6, 7, 8], None), (6, [14, 6, 9, 5, 12], [1, 2, 2]), (7, [30, 9, 5, 8, 20], [0, 1, 1, 2, 3])])
+def test_repeated_lines_against_all_pairs(spark, seed, sizes, letters):
+    rows = noisy_rows(seed, sizes, letters)
+    want = all_pairs(rows)
+    assert want and found(regions(spark, rows)) == want
+
+
+def test_repeated_lines_without_exact_copies(spark):
+    base = "please return the lantern before the thaw"
+    one_wrong = [("s", f"d{i}", i, base[:k] + "q" + base[k + 1 :]) for i, k in enumerate([0, 1, 4, 9, 19, 27, 33, 40])]
+    assert len(found(regions(spark, one_wrong))) == 8
+    a, b, c = "quiet archives lend their maps to anyone", "quxet archives lend their mxps to anyone", "quxxt archives lend their mxxs to anyone"
+    chain = [("s", f"d{i}", i, a) for i in range(10)] + [("s", f"d{20 + i}", 20 + i, b) for i in range(6)] + [("s", "d40", 40, c)]
+    assert len(found(regions(spark, chain))) == 17 and found(regions(spark, chain)) == all_pairs(chain)
+
+
+@pytest.mark.parametrize("hot", [2, 5])
+def test_hot_parts_are_divided_again(spark, hot):
+    rows = [("s", f"d{d}", d, x) for d, x in enumerate(f"this page was last changed by {a}{b}" for a in ("karlin", "kqrlin", "morten", "olgaas", "pxterb") for b in ("ab", "ac", "zzz", "ypsil"))]
+    rows += noisy_rows(8, [9, 9, 9, 9, 9], [1, 2])
+    with written(boilerplate.lines(regions(spark, rows), "text", KEY, "site", "doc_id")) as at:
+        ids = boilerplate.repeated(at, 5, hot)
+        got = {(r.doc_id, r.region_id, r.line_no) for r in at.join(ids, "_h", "left_semi").collect()}
+    assert got == all_pairs(rows)
+
+
+def test_ids_of_near_forms_differ_in_few_signs(spark):
+    rows = noisy_rows(9, [12, 12, 12, 12, 12], [2])
+    at = boilerplate.lines(regions(spark, rows), "text", KEY, "site", "doc_id").select("_s", "_f", "_h").distinct().collect()
+    assert len({r._h for r in at}) == len(at)
+    for x in at:
+        for y in at:
+            if x._s == y._s and dist(x._f, y._f) <= 2:
+                assert (((x._h ^ y._h) & (2**64 - 1)) >> 24).bit_count() <= 8
+
+
+@pytest.mark.parametrize("size", [0, 1, 2])
+def test_ids_are_joined_either_way(spark, size, monkeypatch):
+    monkeypatch.setattr(boilerplate, "BROADCAST", size)
+    rows = noisy_rows(5, [4, 5, 6, 7, 8])
+    assert found(regions(spark, rows)) == all_pairs(rows)
 
 
 ROWS = "k int, text string, restored int"
