@@ -19,7 +19,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -28,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.lookalike import LOOKS
+from bindery.session import written
 
 MIN_SHARE = 2e-6
 MIN_COUNT = 3
 ENTER = 4.0
 ENTER_UTF8 = 2.0
+LOSS = 2.0  # price of a lost byte that no channel explains
 DOUBT = 16.0  # what an ordinary-looking word must gain by a reading that is no word of the corpus
 LOST = "�"
 EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
@@ -87,61 +90,104 @@ NON_ASCII = re.compile(r"[^\x00-\x7f]")
 QUIET = re.compile("[\xa0\xad\u034f\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufe00-\ufe0f\ufeff]+")
 
 
-def _as_utf8(run: str, read: str) -> list[str]:
-    """Readings of a run whose characters are UTF-8 bytes read in ``read``; a lost character may be any byte that ``read`` lacks.
+# A lattice has for each position of a run its edges: the position after and what may stand between.
+Lattice = list[list[tuple[int, str]]]
 
-    Characters that the encoding doesn't have are no bytes, so the run isn't one of this channel.
-    """
-    table = _bytes_of(read)
-    sets = [_holes(read) if ch == LOST else (table[ch],) if ch in table else () for ch in run]
-    if QUIET.fullmatch(run):
-        return [run]
-    if not all(sets):
-        return []
-    ways, at = {0: [""]}, 0
-    while at < len(sets):
-        heads = ways.pop(at, None)
-        if heads:
-            for first in sets[at]:
-                n = 2 if 0xC2 <= first <= 0xDF else 3 if 0xE0 <= first <= 0xEF else 4 if 0xF0 <= first <= 0xF4 else 0
-                if not n or at + n > len(sets):
+
+def _bytes_lattice(sets: list[tuple[int, ...]]) -> list[list[tuple[int, int]]]:
+    return [[(i + 1, b) for b in x] for i, x in enumerate(sets)]
+
+
+def _utf8_lattice(edges: list[list[tuple[int, int]]]) -> Lattice:
+    """The characters that a lattice of bytes may hold in UTF-8: those of each position only, never whole strings."""
+    size = len(edges)
+    out: Lattice = []
+    for here in edges:
+        made = []
+        for q, first in here:
+            n = 2 if 0xC2 <= first <= 0xDF else 3 if 0xE0 <= first <= 0xEF else 4 if 0xF0 <= first <= 0xF4 else 0
+            heads = [(q, bytes([first]))] if n else []
+            for _ in range(n - 1):
+                heads = [(r, h + bytes([b])) for at, h in heads if at < size for r, b in edges[at] if 0x80 <= b <= 0xBF]
+            for at, h in heads:
+                try:
+                    made.append((at, h.decode()))
+                except UnicodeDecodeError:
                     continue
-                tails = [bytes([first])]
-                for more in sets[at + 1 : at + n]:
-                    tails = [t + bytes([b]) for t in tails for b in more if 0x80 <= b <= 0xBF]
-                for t in tails:
-                    try:
-                        ch = t.decode()
-                    except UnicodeDecodeError:
-                        continue
-                    ways.setdefault(at + n, []).extend(h + ch for h in heads)
-        at += 1
-        if not ways:
-            return []
-    return ways.get(len(sets), [])
-
-
-def _as_single(run: str, read: str, written: str) -> list[str]:
-    if QUIET.fullmatch(run):
-        return [run]
+        out.append(made)
+    return out
+
+
+def _again(lattice: Lattice, read: str) -> Lattice:
+    """A lattice whose characters are once more bytes of UTF-8 read in ``read``."""
+    table = _bytes_of(read)
+    return _utf8_lattice([[(q, table[ch]) for q, ch in here if ch in table] for here in lattice])
+
+
+def _ends(lattice: Lattice) -> bool:
+    """Whether a path leads through."""
+    open_ = {0}
+    for i, here in enumerate(lattice):
+        if i in open_:
+            open_ |= {q for q, _ in here}
+    return len(lattice) in open_
+
+
+def _as_utf8(run: str, read: str) -> str | None:
+    """The reading of a run whose characters are UTF-8 bytes read in ``read``; None if they aren't."""
+    table = _bytes_of(read)
+    try:
+        return bytes([table[ch] for ch in run]).decode()
+    except (KeyError, UnicodeDecodeError):
+        return None
+
+
+def _as_single(run: str, read: str, written: str) -> str | None:
     table, chars = _bytes_of(read), _chars_of(written)
     out = []
     for ch in run:
         n = table.get(ch)
         if n is None or chars[n] < "\xa0":
-            return []
+            return None
         out.append(chars[n])
-    return ["".join(out)]
+    return "".join(out)
+
+
+def _damaged(run: str, written: str, read: str) -> Lattice | None:
+    """The lattice of a run with lost characters, each of which may be any byte that ``read`` lacks; None if none leads through."""
+    table, holes = _bytes_of(read), _holes(read)
+    sets = [holes if ch == LOST else (table[ch],) if ch in table else () for ch in run]
+    if not all(sets):
+        return None
+    if written == "utf-8":
+        lattice = _utf8_lattice(_bytes_lattice(sets))
+    else:
+        chars = _chars_of(written)
+        lattice = [[(i + 1, chars[n]) for n in x if chars[n] >= "\xa0"] for i, x in enumerate(sets)]
+    return lattice if _ends(lattice) else None
 
 
 @lru_cache(100_000)
-def _of_run(run: str) -> dict[tuple[str, str], list[str]]:
-    """Readings of a run of characters outside ASCII, for each channel that has any; words share few runs."""
+def _of_run(run: str) -> dict[tuple[str, str], str]:
+    """Readings of a run of whole characters outside ASCII, for each channel that has one; words share few runs."""
     out = {}
+    quiet = QUIET.fullmatch(run) is not None
     for written, reads in CHANNELS.items():
         for read in reads:
-            found = _as_utf8(run, read) if written == "utf-8" else _as_single(run, read, written) if LOST not in run else []
-            if found:
+            found = run if quiet else _as_utf8(run, read) if written == "utf-8" else _as_single(run, read, written)
+            if found is not None:
+                out[written, read] = found
+    return out
+
+
+@lru_cache(20_000)
+def _of_damaged(run: str) -> dict[tuple[str, str], Lattice]:
+    """The same for a run with lost characters, as lattices."""
+    out = {}
+    for written, reads in CHANNELS.items():
+        for read in reads:
+            found = _damaged(run, written, read)
+            if found is not None:
                 out[written, read] = found
     return out
 
@@ -150,7 +196,7 @@ def _of_run(run: str) -> dict[tuple[str, str], list[str]]:
 def _choices(run: str) -> frozenset[str] | None:
     """All that a run may have been by encodings of one byte; None if it may be UTF-8."""
     found = _of_run(run)
-    return None if any(c[0] == "utf-8" for c in found) else frozenset(o for f in found.values() for o in f)
+    return None if any(c[0] == "utf-8" for c in found) else frozenset(found.values())
 
 
 class Model:
@@ -172,10 +218,7 @@ class Model:
         self.pairs = {p: math.log(0.95 * n / firsts[p[0]] + self.single[p[1]]) for p, n in pairs.items()}
         self.unseen = math.log(1e-8)
         self.unknown = math.log(0.05)
-        self.shapes: dict[str, list[str]] = defaultdict(list)
-        for w in counts:
-            if LOST not in w:
-                self.shapes[NON_ASCII.sub(LOST, w)].append(w)
+        self.sorted = sorted(w for w in counts if LOST not in w)
         good = Counter()
         for ch, n in single.items():
             if ch > "\x7f" and ch != LOST and ch.isalpha():
@@ -213,45 +256,109 @@ class Model:
         return self.unknown + (max(s, self.chars(small) - 2) if core.isupper() else s)
 
     def readings(self, token: str) -> dict[tuple[str, str], list[str]]:
-        """All readings of a word by channel; UTF-8 read wrongly more than once is read back up to three times."""
+        """The readings of a word by channel; UTF-8 read wrongly more than once is read back up to three times."""
         runs = RUN.findall(token)
+        if LOST in token:
+            return self._damaged_readings(token, runs)
         out = {}
         of_run = [_of_run(r) for r in runs]
         for channel in of_run[0] if of_run else [(w, r) for w, reads in CHANNELS.items() for r in reads]:
             if all(channel in f for f in of_run[1:]):
-                made = [""]
-                at = 0
-                for r, f in zip(runs, of_run):
-                    i = token.index(r, at)
-                    made = [m + token[at:i] + o for m in made for o in f[channel]]
-                    at = i + len(r)
-                out[channel] = [m + token[at:] for m in made]
+                made = iter([f[channel] for f in of_run])
+                out[channel] = [RUN.sub(lambda m, made=made: next(made), token)]
         for _ in range(2):
             for read in CHANNELS["utf-8"][:3]:
                 if ("utf-8", read) in out:
                     again = []
                     for x in out["utf-8", read]:
                         for more in CHANNELS["utf-8"][:3]:
-                            found = [_as_utf8(r, more) for r in RUN.findall(x)]
-                            if found and all(found):
-                                again.append(RUN.sub(lambda m, it=iter([f[0] for f in found]): next(it), x))
+                            found = [r if QUIET.fullmatch(r) else _as_utf8(r, more) for r in RUN.findall(x)]
+                            if found and None not in found:
+                                made = iter(found)
+                                again.append(RUN.sub(lambda m, made=made: next(made), x))
                     out["utf-8", read] += [a for a in again if a not in out["utf-8", read]]
         return out
 
-    def lost(self, token: str) -> str:
-        """A word with lost bytes under the word frequencies, else by Viterbi over the letters of the corpus."""
+    def _damaged_readings(self, token: str, runs: list[str]) -> dict[tuple[str, str], list[str]]:
+        """The best readings of a word with lost bytes through each channel's lattice, and with any letters in their place."""
         core = token.strip(EDGE)
-        known = self.shapes.get(NON_ASCII.sub(LOST, core))
-        if known:
-            pattern = re.compile(re.escape(core).replace(LOST, "(.)"), re.S)
-            known = [w for w in known if pattern.fullmatch(w)]
-        if known:
-            return token.replace(core, max(known, key=self.words.__getitem__), 1)
-        states = {" ": (0.0, "")}
-        for ch in token:
-            options = self.letters if ch == LOST else [ch]
-            states = {o: max((s + (self.pairs.get(p + o) or self.unseen), t + o) for p, (s, t) in states.items()) for o in options}
-        return max(states.values())[1]
+        i = token.index(core)
+        before, after = token[:i], token[i + len(core) :]
+        parts = re.split(f"({RUN.pattern})", core)
+        out = {}
+        of_run = [_of_damaged(r) if LOST in r else _of_run(r) for r in parts[1::2]]
+        for channel in {c for f in of_run for c in f}:
+            if all(channel in f for f in of_run):
+                levels = [[f[channel] if LOST in r else [[(1, f[channel])]] for r, f in zip(parts[1::2], of_run)]]
+                if channel[0] == "utf-8" and channel[1] in CHANNELS["utf-8"][:3]:
+                    for more in CHANNELS["utf-8"][:3]:
+                        twice = [_again(x if LOST in r else [[(j + 1, ch)] for j, ch in enumerate(x[0][0][1])], more) for r, x in zip(parts[1::2], levels[0])]
+                        if all(_ends(x) for x in twice):
+                            levels.append(twice)
+                out[channel] = [before + x + after for lattices in levels for x in self.best(parts[::2], lattices)]
+        anything = [[[(j + 1, o) for o in (self.letters if ch == LOST else (ch,))] for j, ch in enumerate(r)] for r in parts[1::2]]
+        out["lost", ""] = [before + x + after for x in self.best(parts[::2], anything)]
+        return {c: x for c, x in out.items() if x}
+
+    def best(self, plain: list[str], lattices: list[Lattice]) -> list[str]:
+        """The likeliest ways through a word's lattices by its pairs of characters and by the corpus words that fit; at most three.
+
+        Viterbi: for each position and last character only the best way is
+        kept, as a pointer back, so the work grows with the length of the word
+        and not with the number of strings. Corpus words are followed as ranges
+        of the sorted list of words.
+        """
+        edges: Lattice = []
+        for i, text in enumerate(plain):
+            for ch in text:
+                edges.append([(len(edges) + 1, ch)])
+            if i < len(lattices):
+                base = len(edges)
+                edges += [[(base + q, x) for q, x in here] for here in lattices[i]]
+        found = [x for small in (False, True) if (x := self._by_pairs(edges, small))]
+        if word := self._by_words(edges):
+            found.append(word)
+        return sorted(set(found))
+
+    def _by_pairs(self, edges: Lattice, small: bool) -> str | None:
+        pairs, unseen = self.pairs, self.unseen
+        at: list[dict[str, tuple]] = [{} for _ in range(len(edges) + 1)]
+        at[0][" "] = (0.0, -1, "", "")
+        for i, here in enumerate(edges):
+            for q, text in here:
+                for last, (score, _, _, _) in at[i].items():
+                    p, s = last, score
+                    for ch in text.lower() if small else text:
+                        two = p + ch
+                        s += pairs[two] if two in pairs else math.log(x) if (x := self.single.get(ch)) else unseen
+                        p = ch
+                    old = at[q].get(p)
+                    if old is None or s > old[0]:
+                        at[q][p] = (s, i, last, text)
+        if not at[-1]:
+            return None
+        last = max(at[-1], key=lambda ch: (at[-1][ch][0] + (pairs.get(ch + " ") or unseen), ch))
+        out, i = [], len(edges)
+        while i > 0:
+            _, before, p, text = at[i][last]
+            out.append(text)
+            i, last = before, p
+        return "".join(reversed(out))
+
+    def _by_words(self, edges: Lattice) -> str | None:
+        """The most frequent corpus word that the lattice holds."""
+        words = self.sorted
+        at: list[set[tuple[str, int, int]]] = [set() for _ in range(len(edges) + 1)]
+        at[0].add(("", 0, len(words)))
+        for i, here in enumerate(edges):
+            for prefix, lo, hi in at[i]:
+                for q, text in here:
+                    longer = prefix + text
+                    a = bisect_left(words, longer, lo, hi)
+                    if a < hi and words[a].startswith(longer):
+                        at[q].add((longer, a, bisect_left(words, longer + "\U0010ffff", a, hi)))
+        whole = [w for w, _, _ in at[-1] if w in self.words]
+        return max(whole, key=lambda w: (self.words[w], w)) if whole else None
 
     def knows(self, token: str) -> bool:
         core = token.strip(EDGE)
@@ -262,7 +369,7 @@ class Model:
         core = reading.strip(EDGE)
         if (plain.isascii() and len(plain.strip(EDGE)) == 1) or BOXES.search(core):
             return math.inf
-        return ENTER if core in self.words else DOUBT
+        return ENTER if self.knows(core) else DOUBT
 
     def may_gain(self, token: str) -> bool:
         """False if no reading of an ordinary-looking word can reach its ``price``, which saves scoring them.
@@ -296,13 +403,15 @@ class Model:
             if usual and (not known and (self.knows(token) or self.knows(plain)) or not self.may_gain(token)):
                 hit = ({}, False)
             else:
-                own = max(self.score(x.replace(LOST, "\x00")) for x in {token, plain})
+                own = max(self.score(x.replace(LOST, "\x00")) for x in {token, plain})  # no clean text holds a lost character
                 read = self.readings(token)
                 scores = {x: self.score(x) for x in {x for r in read.values() for x in r}}  # channels share many readings
                 options = {c: max((scores[x], x) for x in r) for c, r in read.items()}
                 found = {c: (s - own, x) for c, (s, x) in options.items()}
-                if LOST in token:
-                    found["lost", ""] = (4 * ENTER, self.lost(token))
+                for c in found:
+                    if LOST in token:
+                        g, x = found[c]
+                        found[c] = (g - token.count(LOST) * (LOSS if c[0] == "lost" else 0), x)
                 hit = (found, any(g > (self.price(plain, x) if usual else 0) for g, x in found.values()))
             if len(self.cache) > 300_000:
                 self.cache.clear()
@@ -317,19 +426,23 @@ class Model:
             return None
         scored = [self.gains(t, True) for t in tokens]
         same = ("", "")
-        states = {same: (0.0, ())}
+        # for each word and channel the score of the best way there and the channel of the word before
+        states, back = {same: 0.0}, []
         for found, _ in scored:
-            top_state, (top, path) = max(states.items(), key=lambda x: x[1][0])
-            free = states.get(same, (-math.inf, ()))
-            back = max(((s, p) for s, p in states.values()), key=lambda x: x[0])
-            new = {same: (back[0], (*back[1], same))}
+            top = max(states, key=states.__getitem__)
+            new, came = {same: states[top]}, {same: top}
             for c, (g, _) in found.items():
-                stay = states.get(c, (-math.inf, ()))
-                enter = (max(free[0], top) - (ENTER_UTF8 if c[0] == "utf-8" else ENTER), path if top >= free[0] else free[1])
-                s, p = stay if stay[0] >= enter[0] else enter
-                new[c] = (s + g, (*p, c))
+                enter = states[top] - (ENTER_UTF8 if c[0] == "utf-8" else ENTER)
+                stay = states.get(c, -math.inf)
+                new[c], came[c] = (stay + g, c) if stay >= enter else (enter + g, top)
             states = new
-        _, path = max(states.values(), key=lambda x: x[0])
+            back.append(came)
+        c = max(states, key=states.__getitem__)
+        path = []
+        for came in reversed(back):
+            path.append(c)
+            c = came[c]
+        path.reverse()
         if all(c == same for c in path):
             return None
         out, at = [], 0
@@ -382,8 +495,9 @@ def words(text: Column) -> Column:
 def model(df: DataFrame, text: str) -> Model:
     """The corpus model, counted over all rows of ``df``."""
     counts = _text(df, text).select(F.explode(words(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") >= max(MIN_COUNT, math.ceil(MIN_SHARE * total))).toPandas()
+    with written(counts) as counts:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        kept = counts.where(F.col("n") >= max(MIN_COUNT, math.ceil(MIN_SHARE * total))).toPandas()
     first = Model(dict(zip(kept["w"], kept["n"])))
     return first.cleaned()
 

@@ -1,6 +1,8 @@
 """Problems 1, 3 and 4 on small fixtures."""
 
+import itertools
 import random
+import time
 
 import pytest
 
@@ -182,3 +184,46 @@ def test_tables(spark):
     assert got == [(60, "la forêt répète")]
     none = spark.createDataFrame([], ROWS)
     assert mojibake.restored(none, "text", ["k"], mojibake.model(none, "text")).count() == 0
+
+
+def test_long_damaged_runs_take_no_time(model):
+    strict = lambda t: t.encode().decode("cp1252", "replace")
+    began = time.time()
+    for n in (4, 8, 12, 200):
+        assert model.restore(strict("с" * n)) is not None
+    assert time.time() - began < 2
+    assert model.restore(strict("Тихий архив хранит большой город и старый мост")) == "Тихий архив хранит большой город и старый мост"
+
+
+def test_lattice_against_all_strings():
+    """Every way through a lattice of lost bytes, against decoding all strings of bytes."""
+    for run in ("Ñ�Ñ€", "â��", "Ñ�Ð°Ñ�Ñ�", "�", "Ã©�"):
+        sets = [mojibake._holes("cp1252") if ch == mojibake.LOST else (mojibake._bytes_of("cp1252")[ch],) for ch in run]
+        want = set()
+        for raw in itertools.product(*sets):
+            try:
+                want.add(bytes(raw).decode())
+            except UnicodeDecodeError:
+                continue
+        lattice = mojibake._damaged(run, "utf-8", "cp1252")
+        ways = {0: {""}}
+        for i, here in enumerate(lattice or []):
+            for q, ch in here:
+                ways.setdefault(q, set()).update(w + ch for w in ways.get(i, ()))
+        assert ways.get(len(run), set()) == want
+
+
+def test_best_way_against_all_ways(model):
+    lattice = [[(1, ch) for ch in "éèêа"], [(2, "t"), (2, "c")], [(3, ch) for ch in "éàа"]]
+    every = ["r" + "".join(x) for x in itertools.product("éèêа", "tc", "éàа")]
+    pairs = max(every, key=model.chars)
+    assert model.chars(max(model.best(["r"], [lattice]), key=model.chars)) == pytest.approx(model.chars(pairs))
+
+
+def test_capitals_of_one_alphabet_read_in_another_code(model):
+    for text in ("ТИХИЙ АРХИВ ХРАНИТ ГОРОД", "СТАРЫЙ МОСТ"):
+        assert model.restore(text.encode("koi8-r").decode("cp1251")) == text
+
+
+def test_lost_bytes_of_one_byte_codes(model):
+    assert model.restore("über".encode("cp437").decode("cp1252", "replace")) == "über"
