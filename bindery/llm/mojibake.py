@@ -420,7 +420,7 @@ class Model:
 
     def restore(self, text: str) -> str | None:
         """The restored text, or None if the text isn't garbled."""
-        tokens = WORD.findall(text)
+        tokens = split(text)
         scored = [self.gains(t) for t in tokens]
         if not any(s for _, s in scored):
             return None
@@ -457,6 +457,14 @@ BLANK = " \\t\\n\\r\\x00-\\x08\\u2000-\\u200a\\u202f\\u205f\\u3000"
 # a non-breaking space belongs to a word only as the last byte of a character of UTF-8
 IN_WORD = f"(?:[^{BLANK}\\xa0]|(?<=[ÂÃÐÑРСâГ├┬√¬╨╤])\\xa0)"
 WORD = re.compile(f"{IN_WORD}*[^{BLANK}\\xa0\\x00-\\x7f]{IN_WORD}*")
+# read in a code of a text screen, byte FF, which is a letter elsewhere, becomes a non-breaking space
+SCREEN = re.compile("[\u2500-\u259f\u221a]|(?<=[\u0400-\u045f])[\xb0\u2219\u221a\u25a0\u2116\xa4](?=[\u0400-\u045f])")
+WIDE = re.compile(f"[^{BLANK}]*[^{BLANK}\\xa0\\x00-\\x7f][^{BLANK}]*")
+
+
+def split(text: str) -> list[str]:
+    """The words of a text that hold a character outside ASCII."""
+    return (WIDE if "\xa0" in text and SCREEN.search(text) else WORD).findall(text)
 LATIN = re.compile("[A-Za-z]")
 LIGATURE = re.compile("[ﬀ-ﬆ]")
 SMALL = re.compile("[a-z]")

@@ -227,3 +227,9 @@ def test_capitals_of_one_alphabet_read_in_another_code(model):
 
 def test_lost_bytes_of_one_byte_codes(model):
     assert model.restore("über".encode("cp437").decode("cp1252", "replace")) == "über"
+
+
+def test_letters_read_as_non_breaking_spaces(model):
+    for text in ("Стеклянный завод и Медная крыша", "Вторая башня"):
+        bigger = mojibake.Model({w: 200 for w in "Стеклянный завод Медная крыша Вторая башня Тихий архив хранит большой город".split()})
+        assert bigger.restore(text.encode("cp1251").decode("cp866")) == text
