@@ -142,17 +142,6 @@ def _as_utf8(run: str, read: str) -> str | None:
         return None
 
 
-def _as_single(run: str, read: str, written: str) -> str | None:
-    table, chars = _bytes_of(read), _chars_of(written)
-    out = []
-    for ch in run:
-        n = table.get(ch)
-        if n is None or chars[n] < "\xa0":
-            return None
-        out.append(chars[n])
-    return "".join(out)
-
-
 def _damaged(run: str, written: str, read: str) -> Lattice | None:
     """The lattice of a run with lost characters, each of which may be any byte that ``read`` lacks; None if none leads through."""
     table, holes = _bytes_of(read), _holes(read)
@@ -167,19 +156,47 @@ def _damaged(run: str, written: str, read: str) -> Lattice | None:
     return lattice if _ends(lattice) else None
 
 
+@cache
+def _codes() -> tuple[dict[str, dict[str, int]], dict[str, list[str]], dict[str, frozenset[int]], frozenset[str]]:
+    """Characters to bytes by encoding read in; bytes to characters and bytes that aren't visible by encoding written in; all characters that are bytes of any."""
+    reads = {r: _bytes_of(r) for rs in CHANNELS.values() for r in rs}
+    chars = {w: [_chars_of(w).get(n, chr(n)) for n in range(256)] for w in CHANNELS if w != "utf-8"}
+    bad = {w: frozenset(n for n in range(128, 256) if c[n] < "\xa0") for w, c in chars.items()}
+    return reads, chars, bad, frozenset(ch for t in reads.values() for ch in t)
+
+
 @lru_cache(100_000)
 def _of_run(run: str) -> dict[tuple[str, str], str]:
     """Readings of a run of whole characters outside ASCII, for each channel that has one; words share few runs."""
+    if QUIET.fullmatch(run):
+        return {(w, r): run for w, rs in CHANNELS.items() for r in rs}
+    reads, chars, bad, _ = _codes()
+    need = set(run)
+    raws = {r: bytes([t[ch] for ch in run]) for r, t in reads.items() if t.keys() >= need}
     out = {}
-    quiet = QUIET.fullmatch(run) is not None
-    for written, reads in CHANNELS.items():
-        for read in reads:
-            found = run if quiet else _as_utf8(run, read) if written == "utf-8" else _as_single(run, read, written)
-            if found is not None:
-                out[written, read] = found
+    for written, channel_reads in CHANNELS.items():
+        for read in channel_reads:
+            raw = raws.get(read)
+            if raw is None:
+                continue
+            if written != "utf-8":
+                if bad[written].isdisjoint(raw):
+                    out[written, read] = "".join([chars[written][n] for n in raw])
+            elif 0xC2 <= raw[0] <= 0xF4:
+                try:
+                    out[written, read] = raw.decode()
+                except UnicodeDecodeError:
+                    continue
     return out
 
 
+def _no_bytes(token: str) -> bool:
+    """Whether no channel can have led to a word: a run has characters of no encoding, or all are without a shape."""
+    known = _codes()[3]
+    loud = [r for r in RUN.findall(token) if not QUIET.fullmatch(r)]
+    return LOST not in token and (not loud or not all(known.issuperset(r) for r in loud))
+
+
 @lru_cache(20_000)
 def _of_damaged(run: str) -> dict[tuple[str, str], Lattice]:
     """The same for a run with lost characters, as lattices."""
@@ -199,6 +216,24 @@ def _choices(run: str) -> frozenset[str] | None:
     return None if any(c[0] == "utf-8" for c in found) else frozenset(found.values())
 
 
+class Pairs(dict):
+    """Scores of pairs of characters; those of pairs not counted are made when first asked for."""
+
+    def __init__(self, known: dict[str, float], single: dict[str, float], unseen: float):
+        super().__init__(known)
+        self.single, self.unseen = single, unseen
+
+    def __missing__(self, pair: str) -> float:
+        x = self.single.get(pair[1])
+        s = math.log(x) if x else self.unseen
+        if len(self) < 1_000_000:
+            self[pair] = s
+        return s
+
+    def __reduce__(self):
+        return Pairs, (dict(self), self.single, self.unseen)
+
+
 class Model:
     """Word and character frequencies of the corpus and the scores built on them; picklable and of bounded size."""
 
@@ -215,8 +250,8 @@ class Model:
                 single[b] += n
         whole = sum(single.values()) + 1
         self.single = {ch: 0.05 * n / whole for ch, n in single.items()}
-        self.pairs = {p: math.log(0.95 * n / firsts[p[0]] + self.single[p[1]]) for p, n in pairs.items()}
         self.unseen = math.log(1e-8)
+        self.pairs = Pairs({p: math.log(0.95 * n / firsts[p[0]] + self.single[p[1]]) for p, n in pairs.items()}, self.single, self.unseen)
         self.unknown = math.log(0.05)
         self.sorted = sorted(w for w in counts if LOST not in w)
         good = Counter()
@@ -234,13 +269,11 @@ class Model:
 
     def chars(self, text: str, run: str = "") -> float:
         """Of all pairs of characters in a word, or of those at its one ``run``."""
-        s = 0.0
-        text = f" {text} "
-        at = text.index(run) - 1 if run else 0
-        for i in range(at, at + len(run) + 1 if run else len(text) - 1):
-            p = text[i : i + 2]
-            s += self.pairs[p] if p in self.pairs else math.log(x) if (x := self.single.get(p[1])) else self.unseen
-        return s
+        pairs, text = self.pairs, f" {text} "
+        if run:
+            at = text.index(run) - 1
+            text = text[at : at + len(run) + 2]
+        return sum([pairs[a + b] for a, b in zip(text, text[1:])])
 
     def score(self, token: str) -> float:
         core = token.strip(EDGE)
@@ -321,7 +354,7 @@ class Model:
         return sorted(set(found))
 
     def _by_pairs(self, edges: Lattice, small: bool) -> str | None:
-        pairs, unseen = self.pairs, self.unseen
+        pairs = self.pairs
         at: list[dict[str, tuple]] = [{} for _ in range(len(edges) + 1)]
         at[0][" "] = (0.0, -1, "", "")
         for i, here in enumerate(edges):
@@ -329,15 +362,14 @@ class Model:
                 for last, (score, _, _, _) in at[i].items():
                     p, s = last, score
                     for ch in text.lower() if small else text:
-                        two = p + ch
-                        s += pairs[two] if two in pairs else math.log(x) if (x := self.single.get(ch)) else unseen
+                        s += pairs[p + ch]
                         p = ch
                     old = at[q].get(p)
                     if old is None or s > old[0]:
                         at[q][p] = (s, i, last, text)
         if not at[-1]:
             return None
-        last = max(at[-1], key=lambda ch: (at[-1][ch][0] + (pairs.get(ch + " ") or unseen), ch))
+        last = max(at[-1], key=lambda ch: (at[-1][ch][0] + pairs[ch + " "], ch))
         out, i = [], len(edges)
         while i > 0:
             _, before, p, text = at[i][last]
@@ -397,6 +429,8 @@ class Model:
         """
         kept = (token, every, known) if every or known else token
         hit = self.cache.get(kept)
+        if hit is None and _no_bytes(token):
+            hit = self.cache[kept] = ({}, False)
         if hit is None:
             plain = as_seen(token)
             usual = not every and ordinary(plain) and not LIGATURE.search(token)
@@ -460,11 +494,14 @@ WORD = re.compile(f"{IN_WORD}*[^{BLANK}\\xa0\\x00-\\x7f]{IN_WORD}*")
 # read in a code of a text screen, byte FF, which is a letter elsewhere, becomes a non-breaking space
 SCREEN = re.compile("[\u2500-\u259f\u221a]|(?<=[\u0400-\u045f])[\xb0\u2219\u221a\u25a0\u2116\xa4](?=[\u0400-\u045f])")
 WIDE = re.compile(f"[^{BLANK}]*[^{BLANK}\\xa0\\x00-\\x7f][^{BLANK}]*")
+BLANKS = re.compile(f"[{BLANK}]+")
 
 
 def split(text: str) -> list[str]:
     """The words of a text that hold a character outside ASCII."""
-    return (WIDE if "\xa0" in text and SCREEN.search(text) else WORD).findall(text)
+    if "\xa0" not in text:
+        return [w for w in BLANKS.split(text) if not w.isascii()]
+    return (WIDE if SCREEN.search(text) else WORD).findall(text)
 LATIN = re.compile("[A-Za-z]")
 LIGATURE = re.compile("[ﬀ-ﬆ]")
 SMALL = re.compile("[a-z]")
