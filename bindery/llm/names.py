@@ -5,20 +5,29 @@ and what stands beside it (given names, initials, kind and subject). Which
 tokens are given names is learned from the names with a comma. Keys are joined
 on edit distance by tries: every key goes into the shards of its parts, keys of
 near length look up the shards of the parts that two edits can't all break,
-and a Levenshtein automaton walks the shard's trie. Near keys follow the most
-frequent one; below it the token orders, nicknames, abbreviations and initials
-are compared on the distinct spellings only, and the rows are joined back.
+and a Levenshtein automaton walks the shard's trie. Shards of more than
+``SHARD`` keys are divided: each piece of the stored keys meets each piece of
+those that look up. A key follows the most frequent key near it, and that one
+its own, up to a key that follows none.
+
+A name whose key nobody else has is read in its other token orders too, and
+takes the order whose key is near the most frequent one.
+
+Below one surname given names are joined, not compared with each other: which
+given names are alike (edits, by the same trie join; beginnings; nicknames) is
+found once over all distinct ones, and these pairs are joined with the names
+below each surname. Initials and abbreviations are joined with counts of the
+given names that fit. No step gathers a surname in one task.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.leaks import HIDDEN, SEEN
@@ -27,6 +36,8 @@ from bindery.session import cut, partitions
 EDITS = 2
 PARTS = EDITS + 1
 GIVEN_SHARE = 1e-4
+SHARD = 2000
+BROADCAST = 1 << 20  # rows, beyond which a side is shuffled
 
 # Nicknames and the given names they stand for.
 NICKNAMES = {
@@ -57,19 +68,27 @@ class Trie:
             node[""] = w
 
     def near(self, word: str, most: int) -> list[tuple[str, int]]:
+        """Words within ``most`` edits; only the cells of a row that can stay within are kept."""
         out: list[tuple[str, int]] = []
-        stack = [(self.root, list(range(len(word) + 1)))]
+        n, far = len(word), most + 1
+        # the cells of a row at depth d stand for the first d - most .. d + most letters of the word
+        stack = [(self.root, 0, [far] * most + [min(j, far) for j in range(most + 1)])]
         while stack:
-            node, row = stack.pop()
-            if "" in node and row[-1] <= most:
-                out.append((node[""], row[-1]))
+            node, depth, row = stack.pop()
+            if "" in node and 0 <= n - depth + most < len(row) and row[n - depth + most] <= most:
+                out.append((node[""], row[n - depth + most]))
             for ch, child in node.items():
                 if ch:
-                    new = [row[0] + 1]
-                    for j, x in enumerate(word):
-                        new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != ch)))
+                    new, left = [], far
+                    for k in range(2 * most + 1):
+                        j = depth + 1 - most + k
+                        if j < 0 or j > n:
+                            left = far
+                        else:
+                            left = min(left + 1, (row[k + 1] if k < 2 * most else far) + 1, row[k] + (j == 0 or word[j - 1] != ch) if j else depth + 1, far)
+                        new.append(left)
                     if min(new) <= most:
-                        stack.append((child, new))
+                        stack.append((child, depth + 1, new))
         return out
 
 
@@ -196,6 +215,20 @@ class Reader:
         full = next(((t, dot) for t, dot, _ in spread[:1] if len(t) > 1), None)
         return key, full[0] if full else "", "".join(t[0] for t, _, _ in spread), bool(full and full[1] and len(full[0]) <= 4)
 
+    def orders(self, name: str | None) -> list[tuple[str, str, str, bool]]:
+        """The readings of a person's name that take another token for the surname."""
+        first = self.read(name)
+        p = parts(name) if first and first[1] != "~" else []
+        tokens = [x for piece in p for x in piece]
+        out = []
+        if 2 <= len(tokens) <= 5:
+            for k, (t, dot, _) in enumerate(tokens):
+                if len(t) > 2 and not dot and t != first[0]:
+                    rest = [x for i, x in enumerate(tokens) if i != k]
+                    g, short, _ = next((x for x in rest if len(x[0]) > 1), ("", False, False))
+                    out.append((t, g, "".join(x[0][0] for x in rest), bool(short and len(g) <= 4)))
+        return out
+
     def _organisation(self, p: list[list[tuple[str, bool, bool]]]) -> tuple[str, str, str, bool] | None:
         rows = [[t for t, _, _ in piece] for piece in p]
         kind = next(((i, j) for i, r in enumerate(rows) for j, t in enumerate(r) if t in KINDS), None) or next(((i, j) for i, r in enumerate(rows) for j, t in enumerate(r) if len(t) > 5 and self.kinds.near(t, 2)), None)
@@ -229,105 +262,188 @@ def same_given(a: str, b: str) -> bool:
     return any(edits(x, y) <= 1 for x in NICKNAMES.get(a, "").split() for y in [b] if len(y) > 4) or any(edits(x, a) <= 1 for x in NICKNAMES.get(b, "").split() if len(a) > 4)
 
 
-def classes(forms: list[tuple[str, str, bool, int]]) -> dict[tuple[str, str, bool], str]:
-    """The class of each (given, initials, cut short) below one key."""
-    out, heads = {}, []
-    full = sorted((f for f in forms if f[0] and f[0] != "~" and not f[2]), key=lambda f: (f[0] in NICKNAMES, -f[3], f[0], f[1]))
-    for g, ini, short, _ in full:
-        head = next((h for h in heads if same_given(g, h)), None)
-        if head is None:
-            heads.append(head := g)
-        out[g, ini, short] = head
-    letters = defaultdict(set)
-    middles = defaultdict(set)
-    for (g, ini, _), head in out.items():
-        letters[head] |= {head[0]} | {x[0] for x in NICKNAMES.get(head, "").split()}
-        if len(ini) > 1:
-            middles[head].add(ini[1])
-    groups = {f[1] for f in forms if f[0] == "~"}
-    for g, ini, short, _ in forms:
-        if (g, ini, short) in out:
-            continue
-        if g == "~":
-            near = ini
-            out[g, ini, short] = "~" + near
-        elif g:  # an abbreviation with a full stop
-            fits = [h for h in heads if h.startswith(g) or (len(g) >= 3 and edits(h[: len(g)], g) <= 1)]
-            exact = [h for h in heads if h.startswith(g)]
-            fits = exact or fits
-            out[g, ini, short] = fits[0] if len(fits) == 1 else "." + g[0]
-        elif ini in groups and len(ini) > 1:
-            out[g, ini, short] = "~" + ini
-        else:
-            fits = [h for h in heads if ini and ini[0] in letters[h]]
-            if len(fits) > 1 and len(ini) > 1:
-                fits = [h for h in fits if ini[1] in middles[h]] or fits
-            out[g, ini, short] = fits[0] if len(fits) == 1 else "." + ini[:1]
-    return out
-
-
 def _cuts(n: int) -> list[tuple[int, int]]:
     at = [n * i // PARTS for i in range(PARTS + 1)]
     return list(zip(at, at[1:]))
 
 
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each key the shards that store it and those that it looks up."""
+    """For each key the shards that store it and those that it looks up.
+
+    With ``EDITS`` edits one part stays whole. Part i of a stored key that is d
+    letters shorter begins, in the key that looks up, at most i letters off
+    from the front and at most ``EDITS - i`` off from the back.
+    """
     for b in batches:
         rows = []
         for w in b["key"]:
             for i, (s, e) in enumerate(_cuts(len(w))):
                 rows.append((f"{len(w)}/{i}/{w[s:e]}", w, True))
-            for n in range(max(1, len(w) - EDITS), len(w) + 1):
+            for d in range(min(EDITS, len(w) - 1) + 1):
+                n = len(w) - d
                 for i, (s, e) in enumerate(_cuts(n)):
-                    for at in range(max(0, s - EDITS), min(len(w) - (e - s), s + EDITS) + 1):
+                    for at in range(max(0, s - i, s + d - (EDITS - i)), min(len(w) - (e - s), s + i, s + d + EDITS - i) + 1):
                         rows.append((f"{n}/{i}/{w[at : at + e - s]}", w, False))
         yield pd.DataFrame(rows, columns=["shard", "key", "stored"]).drop_duplicates()
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs within the bound of each shard, which comes in consecutive rows, stored keys first."""
-    shard, stored, trie, out = None, [], None, []
-    for b in batches:
-        for s, w, is_stored in zip(b["shard"], b["key"], b["stored"]):
-            if s != shard:
-                shard, stored, trie = s, [], None
-            if is_stored:
-                stored.append(w)
-            elif stored:
-                trie = trie or Trie(stored)
-                out += [(w, x) for x, _ in trie.near(w, EDITS if len(w) > 6 else 1) if x != w]
-        yield pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
-        out = []
+def _walk(least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs within the bound of each shard, which comes in consecutive rows, stored keys first."""
+        shard, stored, trie, out = None, [], None, []
+        for b in batches:
+            for s, w, is_stored in zip(b["shard"], b["key"], b["stored"]):
+                if s != shard:
+                    shard, stored, trie = s, [], None
+                if is_stored:
+                    stored.append(w)
+                elif stored:
+                    trie = trie or Trie(stored)
+                    out += [(w, x) for x, _ in trie.near(w, EDITS if len(w) > least else 1) if x != w]
+            yield pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
+            out = []
+
+    return run
+
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, which is cut, to be broadcast if it has at most ``BROADCAST`` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
-def near_keys(keys: DataFrame) -> DataFrame:
-    """``a, b``: pairs of keys within two edits (one up to six letters), by trie join.
 
-    Keys of one or two letters are near none: an edit would make any of them another name.
+def near_keys(keys: DataFrame, least: int = 6, bound: int = SHARD) -> DataFrame:
+    """``a, b``: pairs of keys within two edits (one if the longer has up to ``least`` letters), by trie join.
+
+    Keys of one or two letters are near none: an edit would make any of them
+    another name. Each task has pieces of shards of about ``bound`` stored keys
+    and as many that look up, whatever part the keys share.
     """
-    x = keys.select("key").where(F.length("key") > 2).mapInPandas(_shards, "shard string, key string, stored boolean")
-    x = x.repartition(partitions(keys.sparkSession), "shard").sortWithinPartitions("shard", F.desc("stored"))
-    return x.mapInPandas(_walk, "a string, b string").distinct()
+    n = partitions(keys.sparkSession)
+    x = keys.select("key").where(F.length("key") > 2).distinct().repartition(n).mapInPandas(_shards, "shard string, key string, stored boolean")
+    x = cut(x)
+    size = x.groupBy("shard").agg(F.count_if("stored").alias("_s"), F.count_if(~F.col("stored")).alias("_p"))
+    pieces = lambda c: F.ceil(F.col(c) / bound).cast("int")
+    hot = cut(size.where((F.col("_s") > bound) | (F.col("_p") > bound)).select("shard", pieces("_s").alias("_s"), pieces("_p").alias("_p")))
+    x = x.join(_small(hot), "shard", "left").withColumn("_s", F.coalesce("_s", F.lit(1))).withColumn("_p", F.coalesce("_p", F.lit(1)))
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("stored"), F.col("_s")).otherwise(F.col("_p")))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("stored"), F.col("_p")).otherwise(F.col("_s")) - 1))
+    x = x.select("shard", "key", "stored", own.alias("_own"), other.alias("_other"))
+    piece = F.when(F.col("stored"), F.concat_ws("/", "_own", "_other")).otherwise(F.concat_ws("/", "_other", "_own"))
+    x = x.select(F.concat_ws("/", "shard", piece).alias("shard"), "key", "stored")
+    x = x.repartition(n, "shard").sortWithinPartitions("shard", F.desc("stored"))
+    return x.mapInPandas(_walk(least), "a string, b string").distinct()
 
 
 def leaders(keys: DataFrame) -> DataFrame:
-    """``key, lead``: each key with the most frequent key near it that isn't below another one itself."""
-    pairs = near_keys(keys)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    n = keys.select("key", "n")
-    up = both.join(n.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-    up = cut(up.where(F.struct("nb", "b") > F.struct("na", "a")))
-    open_, done = cut(keys.select("key")), None
-    rest = up
-    while not open_.isEmpty():
-        top = open_.join(rest.select(F.col("a").alias("key")).distinct(), "key", "left_anti").select("key", F.col("key").alias("lead"))
-        below = rest.join(top.select(F.col("key").alias("b")), "b", "left_semi").groupBy("a").agg(F.max(F.struct("nb", "b")).alias("m")).select(F.col("a").alias("key"), F.col("m.b").alias("lead"))
-        level = cut(top.unionByName(below))
-        done = level if done is None else done.unionByName(level)
-        open_ = cut(open_.join(level, "key", "left_anti"))
-        rest = rest.join(open_.select(F.col("key").alias("a")), "a", "left_semi").join(open_.select(F.col("key").alias("b")), "b", "left_semi")
-    return done if done is not None else keys.select("key", F.col("key").alias("lead"))
+    """``key, lead``: where the walk from each key to the most frequent key near it that is more frequent than itself ends."""
+    return follow(keys.select("key", "n"), near_keys(keys.select("key")))
+
+
+def follow(keys: DataFrame, near: DataFrame) -> DataFrame:
+    """``key, lead`` for ``key, n`` and pairs ``a, b`` in either order; the walks are halved until they end."""
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    up = both.join(keys.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(keys.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+    up = up.where(F.struct("nb", "b") > F.struct("na", "a")).groupBy("a").agg(F.max(F.struct("nb", "b"))["b"].alias("lead")).withColumnRenamed("a", "key")
+    now = cut(keys.select("key").join(up, "key", "left").select("key", F.coalesce("lead", "key").alias("lead")))
+    while True:
+        above = now.select(F.col("key").alias("lead"), F.col("lead").alias("_top"))
+        new = cut(now.join(above, "lead").select("key", F.col("_top").alias("lead"), (F.col("_top") != F.col("lead")).alias("_moved")))
+        now = new.select("key", "lead")
+        if new.where("_moved").isEmpty():
+            return now
+
+
+def alike(given: DataFrame) -> DataFrame:
+    """``a, b``: pairs of distinct given names (column ``key``) that may be one, in both orders; see ``same_given``."""
+    spark = given.sparkSession
+    nick = spark.createDataFrame([(a, x) for a, v in NICKNAMES.items() for x in v.split()], "a string, x string")
+    words = given.unionByName(nick.select(F.col("x").alias("key"))).distinct()
+    near = near_keys(words, 0)
+    near = cut(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    heads = given.select(F.col("key").alias("a"), F.explode(F.sequence(F.lit(4), F.greatest(F.lit(4), F.length("key")))).alias("_n")).where(F.length("a") > F.col("_n")).select("a", F.expr("left(a, _n)").alias("b"))
+    starts = heads.join(given.select(F.col("key").alias("b")), "b").select("a", "b")
+    # a nickname with its name, or with a name near that
+    told = nick.select("a", F.col("x").alias("b")).unionByName(nick.join(near.select(F.col("a").alias("x"), "b"), "x").select("a", "b"))
+    found = near.unionByName(starts).unionByName(told)
+    found = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    inside = given.select(F.col("key").alias("a"))
+    found = found.where("a <> b").join(inside, "a", "left_semi").join(inside.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[same_given(x, y) for x, y in zip(b["a"], b["b"])]]
+
+    return found.mapInPandas(check, "a string, b string")
+
+
+def heads_of(full: DataFrame, same: DataFrame) -> DataFrame:
+    """``lead, given, head``: given names below a surname follow the first one like them that follows none itself.
+
+    ``full`` has ``lead, given, n``; first comes what is no nickname, then the
+    most frequent. Every round settles all names that have no open one before
+    them and those like them.
+    """
+    rank = F.struct((~F.col("given").isin(sorted(NICKNAMES))).alias("p"), F.col("n").alias("n"), F.col("given").alias("g"))
+    nodes = cut(full.select("lead", "given", rank.alias("rank")))
+    other = nodes.select("lead", F.col("given").alias("b"), F.col("rank").alias("rank_b"))
+    edges = cut(nodes.join(_small(cut(same)), F.col("given") == F.col("a")).join(other, ["lead", "b"]).where("rank_b > rank").select("lead", "given", "b", "rank_b"))
+    open_, done = nodes.select("lead", "given"), []
+    while True:
+        top = open_.join(edges, ["lead", "given"], "left_anti")
+        below = edges.join(top.select("lead", F.col("given").alias("b")), ["lead", "b"], "left_semi").groupBy("lead", "given").agg(F.max(F.struct("rank_b", "b"))["b"].alias("head"))
+        level = cut(top.withColumn("head", F.col("given")).unionByName(below))
+        done.append(level)
+        open_ = cut(open_.join(level, ["lead", "given"], "left_anti"))
+        if open_.isEmpty():
+            break
+        edges = cut(edges.join(open_, ["lead", "given"], "left_semi").join(open_.withColumnRenamed("given", "b"), ["lead", "b"], "left_semi").select("lead", "given", "b", "rank_b"))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _one(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by, head, many``: the one head of a group, or that there are several; added up before the shuffle."""
+    g = rows.groupBy(*by).agg(F.min("head").alias("head"), F.max("head").alias("_top"))
+    return g.select(*by, "head", (F.col("head") != F.col("_top")).alias("many"))
+
+
+def _spelled_near(text: Column) -> Column:
+    """What strings of one length share that differ in one letter: the string without it."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.substring(text, F.lit(1), i - 1), F.lit("_"), F.substring(text, i + 1, F.length(text))))
+
+
+def grouped(spelled: DataFrame) -> DataFrame:
+    """``lead, given, initials, short, group`` for the distinct spellings ``lead, given, initials, short, n`` below each key."""
+    what = ["lead", "given", "initials", "short"]
+    spelled = cut(spelled)
+    organised = spelled.where("given = '~'").select(*what, F.concat(F.lit("~"), "initials").alias("group"))
+    full = spelled.where("given not in ('', '~') and not short")
+    head = cut(heads_of(full.groupBy("lead", "given").agg(F.sum("n").alias("n")), alike(full.select(F.col("given").alias("key")).distinct())))
+    named = full.join(head, ["lead", "given"]).select(*what, F.col("head").alias("group"))
+    # the letters that stand for a head: its own and, for a nickname, those of its names
+    letters = F.create_map(*[F.lit(x) for a, v in NICKNAMES.items() for x in (a, "".join(sorted({w[0] for w in v.split()})))])
+    own = full.join(head, ["lead", "given"]).select("lead", "head", F.substring("initials", 2, 1).alias("middle")).distinct()
+    own = own.withColumn("letter", F.explode(F.array_distinct(F.split(F.concat(F.substring("head", 1, 1), F.coalesce(F.try_element_at(letters, F.col("head")), F.lit(""))), ""))))
+    by_letter, by_middle = _one(own, ["lead", "letter"]), _one(own.where("middle <> ''"), ["lead", "letter", "middle"])
+    only = spelled.where("given = ''").withColumn("letter", F.substring("initials", 1, 1)).withColumn("middle", F.substring("initials", 2, 1))
+    group = organised.select("lead", "initials", F.lit(True).alias("is_group")).distinct().where(F.length("initials") > 1)
+    only = only.join(group, ["lead", "initials"], "left").join(by_letter, ["lead", "letter"], "left").join(by_middle.select("lead", "letter", "middle", F.col("head").alias("head2"), F.col("many").alias("many2")), ["lead", "letter", "middle"], "left")
+    chosen = F.when(F.col("is_group"), F.concat(F.lit("~"), "initials")).when(~F.col("many"), F.col("head")).when(~F.col("many2"), F.col("head2")).otherwise(F.concat(F.lit("."), "letter"))
+    only = only.select(*what, chosen.alias("group"))
+    # abbreviations with a full stop: the one head that begins so, or else the one that does but for a letter
+    cut_short = spelled.where("given not in ('', '~') and short")
+    begin = head.select("lead", "head").distinct().withColumn("_n", F.explode(F.sequence(F.lit(2), F.lit(4)))).where(F.length("head") >= F.col("_n")).withColumn("given", F.expr("left(head, _n)"))
+    exact = _one(begin.select("lead", "given", "head"), ["lead", "given"])
+    swaps = F.transform(F.sequence(F.lit(1), F.length("given") - 1), lambda i: F.concat(F.lit("="), F.substring(F.col("given"), F.lit(1), i - 1), F.substring(F.col("given"), i + 1, F.lit(1)), F.substring(F.col("given"), i, F.lit(1)), F.substring(F.col("given"), i + 2, F.lit(4))))
+    masks = begin.where("_n >= 3").select("lead", "head", F.explode(F.concat(_spelled_near(F.col("given")), swaps)).alias("mask"))
+    asked = cut_short.where(F.length("given") >= 3).select(*what, F.explode(F.concat(_spelled_near(F.col("given")), F.array(F.concat(F.lit("="), "given")))).alias("mask"))
+    wrong = _one(asked.join(masks, ["lead", "mask"]), what).select(*what, F.col("head").alias("head2"), F.col("many").alias("many2"))
+    short = cut_short.join(exact, ["lead", "given"], "left").join(wrong, what, "left")
+    none = F.concat(F.lit("."), F.substring("given", 1, 1))
+    short = short.select(*what, F.when(F.col("many").isNull() & ~F.col("many2"), F.col("head2")).when(~F.col("many"), F.col("head")).otherwise(none).alias("group"))
+    return organised.unionByName(named).unionByName(only).unionByName(short)
 
 
 def entities(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -341,28 +457,37 @@ def entities(df: DataFrame, key: str, name: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([x for x in map(comma_given, b["name"]) if x], columns=["given", "key"])
 
-    learned = distinct.select("name").mapInPandas(comma, "given string, key string").groupBy("given").agg(F.countDistinct("key").alias("n"))
+    learned = cut(distinct.select("name").mapInPandas(comma, "given string, key string").groupBy("given").agg(F.countDistinct("key").alias("n")))
     total = learned.agg(F.sum("n")).first()[0] or 0
     given = {r[0] for r in learned.where(F.col("n") >= max(2, GIVEN_SHARE * total)).select("given").toLocalIterator()}
     shared = spark.sparkContext.broadcast(Reader(given))
+    form = "name string, n long, key string, given string, initials string, short boolean, other boolean"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = shared.value
         for b in batches:
-            got = [r.read(x) for x in b["name"]]
-            yield pd.DataFrame([(x, n, *g) for x, n, g in zip(b["name"], b["n"], got) if g], columns=["name", "n", "key", "given", "initials", "short"])
-
-    forms = cut(distinct.repartition(partitions(spark)).mapInPandas(read, "name string, n long, key string, given string, initials string, short boolean"))
-    lead = cut(leaders(forms.groupBy("key").agg(F.sum("n").alias("n"))))
+            got = [(x, n, *g, i > 0) for x, n in zip(b["name"], b["n"]) for i, g in enumerate([r.read(x), *r.orders(x)]) if g]
+            yield pd.DataFrame(got, columns=["name", "n", "key", "given", "initials", "short", "other"])
+
+    every = cut(distinct.repartition(partitions(spark)).mapInPandas(read, form))
+    forms, others = every.where("not other").drop("other"), every.where("other").drop("other")
+    near = cut(near_keys(every.select("key")))
+    support = cut(forms.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("names")))
+    # names alone with their key take the order whose key, or one near it, most names have
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    company = both.join(support.select(F.col("key").alias("b")), "b").select(F.col("a").alias("key")).distinct()
+    alone = support.where("names = 1").select("key").join(company, "key", "left_anti")
+    lonely = forms.join(alone, "key", "left_semi").select("name")
+    tried = others.join(lonely, "name", "left_semi")
+    reach = both.select(F.col("a").alias("key"), "b").unionByName(tried.select("key", F.col("key").alias("b")).distinct())
+    seen = tried.join(reach, "key").join(support.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+    turned = seen.groupBy("name").agg(F.max(F.struct("nb", "b", "n", "key", "given", "initials", "short")).alias("m")).select("name", "m.n", "m.key", "m.given", "m.initials", "m.short")
+    turned = cut(turned)
+    forms = cut(forms.join(turned, "name", "left_anti").unionByName(turned))
+    keys = cut(forms.groupBy("key").agg(F.sum("n").alias("n")))
+    lead = follow(keys, near)
     under = forms.join(lead, "key")
-    spelled = under.groupBy("lead", "given", "initials", "short").agg(F.sum("n").alias("n"))
-
-    def group(g: pd.DataFrame) -> pd.DataFrame:
-        made = classes([(a, b, bool(c), int(d)) for a, b, c, d in zip(g["given"], g["initials"], g["short"], g["n"])])
-        return g.assign(group=[made[a, b, bool(c)] for a, b, c in zip(g["given"], g["initials"], g["short"])])[["lead", "given", "initials", "short", "group"]]
-
-    # a given number of partitions isn't merged by size, which says little of the work here
-    made = spelled.repartition(partitions(spark), "lead").groupBy("lead").applyInPandas(group, "lead string, given string, initials string, short boolean, group string")
+    made = grouped(under.groupBy("lead", "given", "initials", "short").agg(F.sum("n").alias("n")))
     named = under.join(made, ["lead", "given", "initials", "short"]).select("name", F.concat_ws("/", "lead", "group").alias("entity"))
     return rows.join(named, "name").select(F.col("id").cast(kind).alias(key), "name", "entity")
 
