@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,17 +75,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
-def _quoted(spark: SparkSession, d: str) -> list[str]:
-    """Texts of the evaluation items, a fixed table."""
-    rows = read(spark, d, "eval_item").select("passage", "question").toLocalIterator()
-    return sorted({t for r in rows for t in r if t})
+def _quoted(spark: SparkSession, d: str) -> Iterator[list[str]]:
+    """Texts of the evaluation items, in blocks; one block at a time is on the driver."""
+    rows = read(spark, d, "eval_item").select(F.explode(F.array("passage", "question")).alias("t")).where("t is not null").distinct().orderBy("t")
+    return subjects.blocks(r[0] for r in rows.toLocalIterator())
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    docs, quoted = read(spark, d, "documents"), _quoted(spark, d)
+    docs = read(spark, d, "documents")
     names_ = sorted(r[0] for r in read(spark, d, "subject").select("subject").distinct().toLocalIterator() if r[0])
-    model = subjects.fit(docs, "doc_id", "text", read(spark, d, "subject_label"), "subject", names_, quoted)
-    return subjects.assign(docs, "doc_id", "text", model, quoted)
+    model = subjects.fit(docs, "doc_id", "text", read(spark, d, "subject_label"), "subject", names_, _quoted(spark, d))
+    return subjects.assign(docs, "doc_id", "text", model, _quoted(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,7 +17,7 @@ hash; every document is scored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,8 @@ DECAY = 1e-5
 PARTS = 8
 QUOTED = 8
 SPREAD = 0.2
-MIN_WORDS = 4
+MIN_CODE = 4  # a shorter piece of code belongs to its sentence
+BLOCK = 20_000  # evaluation texts held at a time
 THRESHOLD = 0.25
 CODE = re.compile(r"```.*?(?:```|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|`[^`\n]+`|(?:(?:^|(?<=<p>))(?:    |\t)[^\n]*(?:\n|\Z))+", re.S | re.M)
 BREAK = re.compile(r"(?<=[.!?:])\s+|\n[\s>]*\n|</?(?:p|br|li|ul|ol|blockquote|h\d|div)\b[^<>]*>")
@@ -49,7 +50,7 @@ def passages(text: str) -> list[tuple[bool, list[str]]]:
     out, rest, at = [], [], 0
     for m in CODE.finditer(text):
         w = words(m[0])
-        if len(w) < MIN_WORDS:  # a word or two of code belong to their sentence
+        if len(w) < MIN_CODE:
             continue
         rest.append(text[at : m.start()])
         at = m.end()
@@ -57,7 +58,7 @@ def passages(text: str) -> list[tuple[bool, list[str]]]:
     rest.append(text[at:])
     for piece in BREAK.split("\n".join(rest)):
         w = words(piece)
-        if len(w) >= MIN_WORDS:
+        if w:
             out.append((False, w))
     return out
 
@@ -66,14 +67,32 @@ def _bucket(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature) % BUCKETS
 
 
+def _windows(w: list[str]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(" ".join(w[i : i + QUOTED])) for i in range(len(w) - QUOTED + 1)]
+
+
+class Quotes:
+    """Hashes of the windows of ``QUOTED`` words of one block of evaluation texts."""
+
+    def __init__(self, texts: list[str]):
+        self.windows = np.unique(np.array([x for t in texts for x in _windows(words(t))], np.uint64))
+
+    def passages(self, text: str | None) -> list[int]:
+        """The numbers of the passages that quote one of the texts."""
+        out = []
+        for i, (_, w) in enumerate(passages(text or "")):
+            if len(w) >= QUOTED and len(self.windows):
+                x = np.array(_windows(w), np.uint64)
+                at = np.minimum(np.searchsorted(self.windows, x), len(self.windows) - 1)
+                if (self.windows[at] == x).any():
+                    out.append(i)
+        return out
+
+
 class Features:
-    """Feature numbers of passages; what is quoted from evaluation texts is left out."""
+    """Feature numbers of passages."""
 
-    def __init__(self, quoted: list[str]):
-        self.quoted = set()
-        for t in quoted:
-            w = words(t)
-            self.quoted |= {tuple(w[i : i + QUOTED]) for i in range(len(w) - QUOTED + 1)}
+    def __init__(self):
         self.seen: dict[str, list[int]] = {}
 
     def of_word(self, w: str) -> list[int]:
@@ -88,10 +107,11 @@ class Features:
             self.seen[w] = hit
         return hit
 
-    def of_text(self, text: str | None) -> list[list[int]]:
+    def of_text(self, text: str | None, quoted: list[int] = ()) -> list[list[int]]:
+        """Of all passages but those numbered in ``quoted``."""
         out = []
-        for code, w in passages(text or ""):
-            if any(tuple(w[i : i + QUOTED]) in self.quoted for i in range(len(w) - QUOTED + 1)):
+        for i, (code, w) in enumerate(passages(text or "")):
+            if i in quoted:
                 continue
             f = [x for t in w for x in self.of_word(t)]
             f += [_bucket(f"{a} {b}") for a, b in zip(w, w[1:])]
@@ -101,6 +121,41 @@ class Features:
         return out
 
 
+def without_quotes(docs: DataFrame, quoted: Iterable[list[str]]) -> DataFrame:
+    """``docs`` (column ``t``) with ``q``: the numbers of the passages that quote an evaluation text.
+
+    ``quoted`` gives the evaluation texts in blocks; each block is broadcast by
+    itself, as hashes, so any number of texts will do.
+    """
+    names = docs.columns
+    out = docs.withColumn("q", F.array().cast("array<int>"))
+    for block in quoted:
+        shared = docs.sparkSession.sparkContext.broadcast(Quotes(block))
+
+        def mark(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            x = shared.value
+            for b in batches:
+                yield b.assign(q=[sorted({*map(int, q), *x.passages(t)}) for q, t in zip(b["q"], b["t"])])
+
+        out = out.mapInPandas(mark, out.select(*names, "q").schema)
+    return out
+
+
+def blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Texts in blocks of ``BLOCK``, without nulls and repeated neighbours."""
+    block: list[str] = []
+    last = None
+    for t in texts:
+        if t and t != last:
+            block.append(t)
+            last = t
+        if len(block) == BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 class Model:
     def __init__(self, subjects: list[str]):
         rng = np.random.default_rng(7)
@@ -181,31 +236,34 @@ def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"g": [total.tobytes()]})
 
 
-def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, subjects: list[str], quoted: list[str]) -> Model:
+def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, subjects: list[str], quoted: Iterable[list[str]]) -> Model:
     """A model trained on the labelled documents.
 
     Labels are compared without case and blanks around them; those that name
     no subject (``none``) mean that no subject fits. Repeated labels count once.
+    Only labelled documents are shuffled: their keys, ``MAX_LABELLED`` at most,
+    are broadcast to the scan of all.
     """
     spark = docs.sparkSession
     spelled = {s.strip().lower(): s for s in subjects}
     known = labels.select(F.col(key).alias("k"), F.lower(F.trim(F.col(label))).alias("s")).where("k is not null and s is not null")
-    known = known.groupBy("k").agg(F.collect_set("s").alias("s")).orderBy(F.xxhash64("k"), "k").limit(MAX_LABELLED)
-    features = spark.sparkContext.broadcast(Features(quoted))
+    known = cut(known.groupBy("k").agg(F.collect_set("s").alias("s")).orderBy(F.xxhash64("k"), "k").limit(MAX_LABELLED))
+    features = spark.sparkContext.broadcast(Features())
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = features.value
         for b in batches:
             rows = []
-            for t, s in zip(b["t"], b["s"]):
-                p = f.of_text(t)
+            for t, q, s in zip(b["t"], b["q"], b["s"]):
+                p = f.of_text(t, list(q))
                 if p:
                     has = {spelled.get(x) for x in s}
                     rows.append(([x for q in p for x in q], [len(q) for q in p], [float(x in has) for x in subjects]))
             yield pd.DataFrame(rows, columns=["flat", "n", "y"])
 
-    base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").groupBy("k").agg(F.min("t").alias("t"))
-    data = cut(base.join(known, "k").repartition(PARTS, "k").mapInPandas(encode, "flat array<int>, n array<int>, y array<float>"))
+    base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(known), "k")
+    base = base.repartition(PARTS, "k").groupBy("k").agg(F.min("t").alias("t"), F.first("s").alias("s"))
+    data = cut(without_quotes(base, quoted).mapInPandas(encode, "flat array<int>, n array<int>, y array<float>"))
     model = Model(subjects)
     if data.isEmpty():
         return model.bare()
@@ -227,20 +285,20 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, sub
     return model.bare()
 
 
-def assign(docs: DataFrame, key: str, text: str, model: Model, quoted: list[str]) -> DataFrame:
+def assign(docs: DataFrame, key: str, text: str, model: Model, quoted: Iterable[list[str]]) -> DataFrame:
     """``key, subject``: every subject that some passage of a document's text is found to treat.
 
     Null and empty texts have none; repeated rows count once.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    shared = spark.sparkContext.broadcast((model, Features(quoted)))
+    shared = spark.sparkContext.broadcast((model, Features()))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, f = shared.value
         for b in batches:
-            rows = [(k, s) for k, t in zip(b["k"], b["t"]) for s in m.subjects_of(f.of_text(t))]
+            rows = [(k, s) for k, t, q in zip(b["k"], b["t"], b["q"]) for s in m.subjects_of(f.of_text(t, list(q)))]
             yield pd.DataFrame(rows, columns=["k", "subject"])
 
     base = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return base.mapInPandas(score, f"k {kind}, subject string").distinct().withColumnRenamed("k", key)
+    return without_quotes(base, quoted).mapInPandas(score, f"k {kind}, subject string").distinct().withColumnRenamed("k", key)

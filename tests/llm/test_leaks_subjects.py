@@ -90,7 +90,10 @@ def test_no_labels_no_documents(spark):
 def test_passages():
     p = subjects.passages("First sentence stands here. Second one follows it!\n\n```py\nx = foo(bar, baz, qux)\n```\n<p>Use `x` with some care now</p>")
     assert [c for c, _ in p] == [True, False, False, False] and p[0][1][:2] == ["py", "x"]
-    assert subjects.Features([PASSAGE]).of_text(PASSAGE + ". Other words stand here alone.") and len(subjects.Features([PASSAGE]).of_text(PASSAGE + ". Other words stand here alone.")) == 1
+    text = PASSAGE + ". Other words stand here alone."
+    quoted = subjects.Quotes([PASSAGE]).passages(text)
+    assert quoted == [0] and len(subjects.Features().of_text(text, quoted)) == 1 and len(subjects.Features().of_text(text)) == 2
+    assert subjects.passages("It is law.") == [(False, ["it", "is", "law"])]
 
 
 def test_gradient_is_that_of_the_loss():
