@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 
 from bindery.session import cut
 
-# Letters of the Cyrillic and Greek alphabets and signs that look like another letter or sign.
+# Letters of the Cyrillic, Greek, Armenian, Cherokee and Coptic alphabets and signs that look like another letter or sign.
 LOOKS = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ԍ": "G", "Һ": "H", "Ӏ": "I",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l",
     "Ё": "Ë", "ё": "ë", "Ї": "Ï", "ї": "ï", "Ѐ": "È", "ѐ": "è",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     "Ά": "Á", "Έ": "É", "Ή": "H́", "Ί": "Í", "Ό": "Ó", "Ύ": "Ý", "ό": "ó",
+    "Օ": "O", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Լ": "L",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮢ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X",
     "µ": "μ", "ɑ": "a", "ɡ": "g", "‐": "-", "‑": "-", "‧": "·", "∙": "·", "⋅": "·", "′": "'", "ʼ": "’", ";": ";", "·": "·",
 }
 # White space as Unicode defines it, without the control characters that are line ends.
@@ -103,11 +106,35 @@ def look(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, f"[{BLANKS}]+", " "))
 
 
+BROADCAST = 1 << 20  # keys, at most 24 MB; beyond it they are joined by shuffle
+
+
+def _keyed(records: DataFrame) -> DataFrame:
+    x = records.where(F.col("text").isNotNull()).select("doc_id", "rec", "text", coarse_key(F.col("text")).alias("_key"), F.xxhash64("text").alias("_raw"))
+    return x.withColumn("_key", F.xxhash64("doc_id", "_key"))
+
+
+def _mixed(keyed: DataFrame) -> DataFrame:
+    """Keys that hold two different stored texts; only hashes are shuffled."""
+    return cut(keyed.groupBy("_key").agg(F.min("_raw").alias("_a"), F.max("_raw").alias("_b")).where("_a <> _b").select("_key"))
+
+
+def _side(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
+
+
 def candidates(records: DataFrame) -> DataFrame:
-    """Records whose coarse key holds two different stored texts, with their ``look`` and the hash of the stored text."""
-    keyed = records.where(F.col("text").isNotNull()).select("doc_id", "rec", "text", coarse_key(F.col("text")).alias("_key"), F.xxhash64("text").alias("_raw"))
-    mixed = keyed.groupBy("doc_id", "_key").agg(F.min("_raw").alias("_a"), F.max("_raw").alias("_b")).where("_a <> _b").select("doc_id", "_key")
-    return cut(keyed.join(mixed.hint("shuffle_hash"), ["doc_id", "_key"]).select("doc_id", "rec", "text", look(F.col("text")).alias("look")).distinct())
+    """Records whose coarse key holds two different stored texts, with their ``look`` and the hash of the stored text.
+
+    The keys are counted: up to ``BROADCAST`` of them go to the records, beyond
+    that the records are shuffled.
+    """
+    keyed = _keyed(records)
+    return _candidates(keyed, _side(_mixed(keyed)))
+
+
+def _candidates(keyed: DataFrame, mixed: DataFrame) -> DataFrame:
+    return cut(keyed.join(mixed, "_key", "left_semi").select("doc_id", "rec", "text", look(F.col("text")).alias("look")).distinct())
 
 
 def classes(records: DataFrame) -> DataFrame:
@@ -123,14 +150,17 @@ def classes(records: DataFrame) -> DataFrame:
 
 def members(records: DataFrame) -> DataFrame:
     """``doc_id, rec, text, canonical``: each record of a class of several stored texts, with the canonical member joined back."""
-    spark = records.sparkSession
-    return spark.sql(
-        """
-        WITH c AS (SELECT doc_id, rec, text, look, collate(look, 'UNICODE') AS k FROM {v}),
+    return _members(candidates(records), "JOIN", "g.canonical")
+
+
+def _members(found: DataFrame, join: str, value: str) -> DataFrame:
+    return found.sparkSession.sql(
+        f"""
+        WITH c AS (SELECT doc_id, rec, text, look, collate(look, 'UNICODE') AS k FROM {{v}}),
              g AS (SELECT doc_id, k, min_by(text, struct(look, text)) AS canonical FROM c GROUP BY doc_id, k HAVING min(text) <> max(text))
-        SELECT c.doc_id, c.rec, c.text, g.canonical FROM c JOIN g ON c.doc_id = g.doc_id AND c.k = g.k
+        SELECT c.doc_id, c.rec, c.text, {value} AS canonical FROM c {join} g ON c.doc_id = g.doc_id AND c.k = g.k
         """,
-        v=candidates(records),
+        v=found,
     )
 
 
@@ -147,10 +177,16 @@ def pairs(records: DataFrame) -> DataFrame:
 
 
 def canonical(records: DataFrame) -> DataFrame:
-    """Every record with ``canonical``: the canonical member of its class, or its own look where nothing looks like it."""
-    m = members(records).select("doc_id", "rec", "canonical").dropDuplicates(["doc_id", "rec"])
-    base = records.select("doc_id", "rec", "text").distinct()
-    return base.join(m, ["doc_id", "rec"], "left").select("doc_id", "rec", "text", F.coalesce("canonical", look(F.col("text"))).alias("canonical"))
+    """Every record with ``canonical``: the canonical member of its class, or its own look where nothing looks like it.
+
+    Records that nothing can look like take no part in the grouping; they are
+    only told apart from repeated rows, which shuffles their texts once.
+    """
+    keyed = _keyed(records)
+    mixed = _side(_mixed(keyed))
+    alone = keyed.join(mixed, "_key", "left_anti").select("doc_id", "rec", "text").distinct().withColumn("canonical", look(F.col("text")))
+    none = records.where("text is null").select("doc_id", "rec", "text").distinct().withColumn("canonical", F.lit(None).cast("string"))
+    return _members(_candidates(keyed, mixed), "LEFT JOIN", "coalesce(g.canonical, c.look)").unionByName(alone).unionByName(none)
 
 
 def book_records(text_region: DataFrame, toc_entry: DataFrame, bookmark_node: DataFrame) -> DataFrame:

@@ -13,3 +13,14 @@ REC = "doc_id string, rec string, text string"
 def test_pairs(spark, a, b, same):
     df = spark.createDataFrame([("d", "a", a), ("d", "b", b)], REC)
     assert [tuple(r) for r in lookalike.pairs(df).collect()] == [("d", "a", "b")] * same
+
+
+def test_keys_are_joined_either_way(spark, monkeypatch):
+    rows = [("d", "a", "ﬁx Ꭰо"), ("d", "b", "fix Do"), ("d", "c", "other"), ("e", "a", "fix Do"), ("d", "n", None), ("d", "c", "other")]
+    df = spark.createDataFrame(rows, "doc_id string, rec string, text string")
+    want = {("d", "a", "fix Do"), ("d", "b", "fix Do"), ("d", "c", "other"), ("e", "a", "fix Do"), ("d", "n", None)}
+    for size in (0, 1 << 20):
+        monkeypatch.setattr(lookalike, "BROADCAST", size)
+        got = [(r.doc_id, r.rec, r.canonical) for r in lookalike.canonical(df).collect()]
+        assert len(got) == 5 and set(got) == want
+        assert lookalike.pairs(df).count() == 1
