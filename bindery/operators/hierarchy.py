@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.session import cut, partitions
+from bindery.session import cut, kept, partitions
 
 ROWS_PER_TASK = 200_000
 SEP = "\x1f"
@@ -45,8 +45,10 @@ def _compress(paths: bool):
         w = x["w"].to_numpy(np.int64)
         to, up = np.where(link < 0, here, link), np.where(link < 0, 0, w)
         for _ in range(max(1, math.ceil(math.log2(n + 1))) + 1):
-            up = up + up[to]
-            to = to[to]
+            far = to[to]
+            if (far == to).all():  # flat trees are done after a step or two
+                break
+            up, to = up + up[to], far
         ends = link[to] < 0
         a, b = x["a"].to_numpy(object), x["b"].to_numpy(object)
         x["top"] = np.where(ends, a[to], None)
@@ -82,7 +84,7 @@ def _forest(links: DataFrame, paths: bool, level: int = 0, before: int | None =
         on = F.col("b2").isNotNull()
         links = cut(joined.select("t", "a", F.when(on, F.col("b2")).otherwise(F.col("b")).alias("b"), "ord", F.when(on, F.col("w") + F.col("w2")).otherwise(F.col("w")).alias("w"), F.when(on, F.concat("seg2", "seg")).otherwise(F.col("seg")).alias("seg")))
     split = links.coalesce(1) if parts == 1 else links.repartitionByRange(parts, "t", "ord", "a")
-    local = cut(split.mapInPandas(_compress(paths), SCHEMA))
+    local = kept(split.mapInPandas(_compress(paths), SCHEMA))
     tops = local.where("a = top and out is not null").select("t", "a", "out", "ord", "step", "path")
     if parts == 1:  # all links were here: what leads out is a top above, or in the first level a missing parent
         end, more = (F.col("out"), F.col("step")) if level else (F.col("a"), F.lit(0).cast("long"))
@@ -183,8 +185,8 @@ def hierarchy(df: DataFrame, by: list[str], rec: str, parent: str, order: str |
     with different parents the smallest parent counts, none being smallest. An
     empty table gives an empty result.
     """
-    links = cut(_links(df, by, rec, parent, order))
-    all_ = cut(_forest(links, paths))
+    links = kept(_links(df, by, rec, parent, order))
+    all_ = kept(_forest(links, paths))
     state = F.when(F.col("lost"), "orphan").otherwise("tree")
     done = all_.where("end is not null").select("t", "a", F.col("end").alias("root_id"), "depth", state.alias("state"), "path")
     stuck = all_.where("end is null").select("t", "a")
@@ -217,7 +219,7 @@ def all_descendants(df: DataFrame, by: list[str], rec: str, parent: str, order:
     records of a cycle so are descendants of each other, and what lies below
     one of them is below all. A record is no descendant of its own.
     """
-    tree = cut(hierarchy(df, by, rec, parent, order, paths=True))
+    tree = kept(hierarchy(df, by, rec, parent, order, paths=True))
     out = descendants(tree, by, ("tree", "orphan", "below_cycle"))
     inner = tree.where("state in ('cycle', 'below_cycle')").select(F.concat_ws(SEP, *by).alias("t"), "rec_id", "root_id", "depth", "state", F.col("path")[0].alias("gate"))
     if inner.isEmpty():
