@@ -18,6 +18,11 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
     return x.where(F.col("text").isNotNull() & finite[0] & finite[1] & finite[2] & finite[3] & (F.col("r") > F.col("l")) & (F.col("b") > F.col("t"))).distinct()
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """All texts of regions, repeated rows once."""
+    return read(spark, d, "text_region").where("text is not null").select(*PAGE, "region_id", "text").distinct()
+
+
 def fragments(spark: SparkSession, d: str) -> DataFrame:
     """Lines of regions; a region of several lines is split into parts of equal height, blank ones dropped."""
     x = regions(spark, d).withColumn("_p", F.split("text", "\n")).withColumn("n", F.size("_p"))
