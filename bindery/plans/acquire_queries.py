@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bindery.plans import query
-from bindery.session import _shared, read
-from bindery.sources import corpus
+from bindery.session import folder, read
+from bindery.sources import corpus, sinks
 from bindery.sources.corpus import PAGE, SQL_PAGES, SQL_REGIONS
 
 
-@query(
-    f"""WITH {SQL_REGIONS}, {SQL_PAGES},
-tx AS (SELECT doc_id, page_index, revision, sum(length(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g'))) AS visible, sum(length(text) - length(replace(text, '�', ''))) AS replaced, max(b) - min(t) AS band FROM rg GROUP BY ALL)
-SELECT pg.doc_id, pg.page_index, pg.revision, pg.outcome, pg.source, coalesce(visible, 0) AS visible,
-  coalesce(visible > 0 AND replaced <= 0.5 * visible, false) AS usable, coalesce(image_object_count > 0 AND coalesce(band, 0) < 0.25 * height, false) AS suspect,
-  CASE WHEN outcome IN ('failed', 'cancelled') THEN 'none' WHEN NOT coalesce(visible > 0 AND replaced <= 0.5 * visible, false) THEN 'ocr' WHEN image_object_count > 0 AND coalesce(band, 0) < 0.25 * height THEN 'compare' ELSE 'embedded' END AS choice
-FROM pg LEFT JOIN tx USING (doc_id, page_index, revision)"""
-)
-def acquire_decision(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    visible = F.sum(F.length(F.regexp_replace(t, r"[ \t\n\r\f\x0B]", "")))
-    replaced = F.sum(F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit(""))))
-    tx = corpus.regions(spark, d).groupBy(*PAGE).agg(visible.alias("visible"), replaced.alias("replaced"), (F.max("b") - F.min("t")).alias("band"))
-    x = corpus.pages(spark, d).join(tx, PAGE, "left")
-    usable = F.coalesce((F.col("visible") > 0) & (F.col("replaced") <= 0.5 * F.col("visible")), F.lit(False))
-    suspect = F.coalesce((F.col("image_object_count") > 0) & (F.coalesce("band", F.lit(0.0)) < 0.25 * F.col("height")), F.lit(False))
-    choice = F.when(F.col("outcome").isin("failed", "cancelled"), "none").when(~usable, "ocr").when(suspect, "compare").otherwise("embedded")
-    return x.select(*PAGE, "outcome", "source", F.coalesce("visible", F.lit(0)).alias("visible"), usable.alias("usable"), suspect.alias("suspect"), choice.alias("choice"))
-
-
 @query(
     f"""WITH {SQL_PAGES} SELECT doc_id, page_index, revision, source = 'ocr' AS ocr, sum(CASE WHEN source = 'ocr' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY revision, page_index ROWS UNBOUNDED PRECEDING) AS spent
   FROM (SELECT DISTINCT doc_id, page_index, revision, source FROM pg)"""
@@ -96,22 +74,15 @@ def affine_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_PAGES}, s AS (SELECT DISTINCT doc_id, page_index, revision, CAST(ceil(width * 300 / 72) AS BIGINT) AS w, CAST(ceil(height * 300 / 72) AS BIGINT) AS h FROM pg WHERE width > 0 AND height > 0),
-r AS (SELECT *, CASE WHEN least(w, h) < 736 THEN 736.0 / least(w, h) ELSE 1.0 END AS up FROM s),
-c AS (SELECT *, CASE WHEN greatest(w, h) * up > 4000 THEN 4000.0 / greatest(w, h) ELSE up END AS ratio FROM r)
-SELECT doc_id, page_index, revision, w, h, w <= 20000 AND h <= 20000 AND w * h <= 80000000 AND w * h * 4 <= 320000000 AS fits, w + h < 64 AS tiny,
-  greatest(CAST(round_even(floor(w * ratio) / 32, 0) * 32 AS BIGINT), 32) AS det_w, greatest(CAST(round_even(floor(h * ratio) / 32, 0) * 32 AS BIGINT), 32) AS det_h FROM c"""
+    f"""WITH {SQL_PAGES}, s AS (SELECT DISTINCT doc_id, page_index, revision, width, height, CAST(ceil(width * 300 / 72) AS BIGINT) AS w, CAST(ceil(height * 300 / 72) AS BIGINT) AS h FROM pg WHERE width > 0 AND height > 0)
+SELECT doc_id, page_index, revision, w, h, w <= 20000 AND h <= 20000 AND w * h <= 80000000 AND w * h * 3 <= 320000000 AS fits, round(w * 72.0 / width, 3) AS dpi_x, round(h * 72.0 / height, 3) AS dpi_y FROM s"""
 )
 def raster_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Raster size at 300 dpi against the limits, and the size a detector takes: sides between 736 and 4000 in steps of 32, halves to even."""
-    x = corpus.pages(spark, d).where("width > 0 and height > 0").select(*PAGE, F.ceil(F.col("width") * 300 / 72).alias("w"), F.ceil(F.col("height") * 300 / 72).alias("h")).distinct()
-    low, high = F.least("w", "h"), F.greatest("w", "h")
-    up = F.when(low < 736, 736.0 / low).otherwise(1.0)
-    ratio = F.when(high * up > 4000, 4000.0 / high).otherwise(up)
-    side = lambda c: F.greatest((F.rint(F.floor(F.col(c) * ratio) / 32) * 32).cast("long"), F.lit(32).cast("long"))
+    """Raster size at 300 dpi against the four limits, and the resolution that whole pixels make of it."""
+    x = corpus.pages(spark, d).where("width > 0 and height > 0").select(*PAGE, "width", "height", F.ceil(F.col("width") * 300 / 72).alias("w"), F.ceil(F.col("height") * 300 / 72).alias("h")).distinct()
     n = F.col("w") * F.col("h")
-    fits = (F.col("w") <= 20000) & (F.col("h") <= 20000) & (n <= 80000000) & (n * 4 <= 320000000)
-    return x.select(*PAGE, "w", "h", fits.alias("fits"), (F.col("w") + F.col("h") < 64).alias("tiny"), side("w").alias("det_w"), side("h").alias("det_h"))
+    fits = (F.col("w") <= 20000) & (F.col("h") <= 20000) & (n <= 80000000) & (n * 3 <= 320000000)
+    return x.select(*PAGE, "w", "h", fits.alias("fits"), F.round(F.col("w") * 72.0 / F.col("width"), 3).alias("dpi_x"), F.round(F.col("h") * 72.0 / F.col("height"), 3).alias("dpi_y"))
 
 
 @query(
@@ -135,19 +106,23 @@ def recognition_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT label, vec_id, list_position(embedding, list_max(embedding)) - 1 AS cls, list_max(embedding) AS conf, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS step FROM embeddings),
-p AS (SELECT *, lag(cls) OVER (PARTITION BY label ORDER BY step) AS before FROM s)
-SELECT label, string_agg(CASE WHEN cls = 63 THEN ' ' ELSE chr(CAST(64 + cls AS INTEGER)) END, '' ORDER BY step) AS text, count(*) AS n, round(avg(CAST(conf AS DOUBLE)), 5) AS confidence FROM p WHERE cls <> 0 AND (before IS NULL OR before <> cls) GROUP BY label"""
+    """WITH s AS (SELECT vec_id, unnest(range(len(embedding) // 8)) AS step, embedding FROM embeddings),
+c AS (SELECT vec_id, step, list_slice(embedding, step * 8 + 1, step * 8 + 8) AS p FROM s),
+b AS (SELECT vec_id, step, list_position(p, list_max(p)) - 1 AS cls, CAST(list_max(p) AS DOUBLE) AS conf FROM c),
+k AS (SELECT *, lag(cls) OVER (PARTITION BY vec_id ORDER BY step) AS before FROM b)
+SELECT vec_id, coalesce(string_agg(CASE WHEN cls = 7 THEN ' ' ELSE chr(CAST(64 + cls AS INTEGER)) END, '' ORDER BY step) FILTER (kept), '') AS text, count(*) FILTER (kept) AS n, round(coalesce(avg(conf) FILTER (kept), 0), 5) AS confidence
+FROM (SELECT *, cls <> 0 AND (before IS NULL OR before <> cls) AS kept FROM k) GROUP BY vec_id"""
 )
 def ctc_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy decoding: the best class of each step, repeats and the blank 0 dropped, the last class a space."""
-    best = F.array_max("embedding")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    x = read(spark, d, "embeddings").select("label", "vec_id", (F.array_position("embedding", best) - 1).alias("cls"), best.cast("double").alias("conf"))
-    x = x.withColumn("before", F.lag("cls").over(w)).where("cls <> 0 and (before is null or before <> cls)")
-    letter = F.when(F.col("cls") == 63, " ").otherwise(F.char((F.col("cls") + 64).cast("int")))
-    steps = F.array_sort(F.collect_list(F.struct("vec_id", letter.alias("ch"))))
-    return x.groupBy("label").agg(F.array_join(F.transform(steps, lambda s: s["ch"]), "").alias("text"), F.count("*").alias("n"), F.round(F.avg("conf"), 5).alias("confidence"))
+    """Greedy decoding of each vector by itself, as steps of eight classes: the best class of a step, repeats and the blank 0 dropped, the last class a space."""
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 8).cast("int") - 1), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
+    best = F.transform(steps, lambda p: F.struct((F.array_position(p, F.array_max(p)) - 1).alias("cls"), F.array_max(p).cast("double").alias("conf")))
+    x = read(spark, d, "embeddings").where(F.size("embedding") >= 8).select("vec_id", best.alias("s"))
+    x = x.select("vec_id", F.filter("s", lambda e, i: (e["cls"] != 0) & ((i == 0) | (e["cls"] != F.element_at(F.col("s"), F.greatest(i, F.lit(1)))["cls"]))).alias("s"))
+    letter = F.transform("s", lambda e: F.when(e["cls"] == 7, " ").otherwise(F.char((e["cls"] + 64).cast("int"))))
+    n = F.size("s").cast("long")
+    mean = F.aggregate("s", F.lit(0.0), lambda a, e: a + e["conf"]) / F.greatest(n, F.lit(1))
+    return x.select("vec_id", F.array_join(letter, "").alias("text"), n.alias("n"), F.round(mean, 5).alias("confidence"))
 
 
 SELECTIONS = "SELECT DISTINCT doc_id, page_count, CASE WHEN page_count % 4 = 0 THEN 'all' WHEN page_count % 4 = 1 THEN '1-' || least(page_count, 5) WHEN page_count % 4 = 2 THEN '2,' || page_count ELSE '1,3-4,' || page_count END AS sel FROM book WHERE page_count >= 6"
@@ -197,19 +172,17 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.to_json(report, {"ignoreNullFields": "false"}).alias("report"))
 
 
-@query("SELECT event_id, CAST(props AS JSON) IS NOT NULL AS valid, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_keys(props) = ['k'] AS exact_members FROM events")
-def strict_json(spark: SparkSession, d: str) -> DataFrame:
-    """Strict reading of a JSON column: the declared members and no others, of the declared types."""
-    x = read(spark, d, "events").withColumn("p", F.from_json("props", "struct<k:bigint>", {"mode": "FAILFAST"}))
-    exact = F.array_sort(F.json_object_keys("props")) == F.array(F.lit("k"))
-    return x.select("event_id", F.col("p").isNotNull().alias("valid"), F.col("p.k").alias("k"), exact.alias("exact_members"))
-
-
-@query("SELECT doc_id, 'written' AS side FROM book WHERE false")
+@query(
+    """WITH b AS (SELECT DISTINCT * FROM book), t AS (SELECT count(*) AS n FROM b), c AS (SELECT count(*) AS k FROM b WHERE title IS NOT NULL AND page_count % 5 = 0)
+SELECT 'whole' AS copy, n AS expected, n AS stored, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, true AS equal FROM t UNION ALL SELECT 'changed', n, n, k, k, k = 0 FROM t, c"""
+)
 def write_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Books written without overwriting, read again and compared both ways; no row may differ."""
+    """Books written beside their place, read again, compared both ways and put in place; a copy with changed titles must be told."""
     b = read(spark, d, "book").distinct()
-    path = f"{_shared(spark)}/book-{uuid.uuid4().hex}"
-    b.write.mode("errorifexists").parquet(path)
-    again = spark.read.schema(b.schema).parquet(path)
-    return b.exceptAll(again).unionByName(again.exceptAll(b)).select("doc_id", F.lit("written").alias("side"))
+    changed = b.withColumn("title", F.when(F.col("page_count") % 5 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    rows = []
+    with folder(spark) as at:
+        sinks.write_copy(b, f"{at}/book")
+        rows.append(("whole", *sinks.compared(b, spark.read.schema(b.schema).parquet(f"{at}/book"))))
+        rows.append(("changed", *sinks.compared(b, changed)))
+    return spark.createDataFrame([(*r, r[3] == r[4] == 0) for r in rows], "copy string, expected long, stored long, missing long, extra long, equal boolean")

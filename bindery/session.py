@@ -66,6 +66,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def folder(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one, for as long as the block runs."""
+    path = f"{_shared(spark)}/folder-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        _remove(spark, path)
+
+
 @contextmanager
 def written(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` as a table written into the shared folder, for as long as the block runs.
