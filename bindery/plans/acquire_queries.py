@@ -70,7 +70,7 @@ def affine_boxes(spark: SparkSession, d: str) -> DataFrame:
     det = 0.24 * 0.24 + 0.01 * 0.01
     back_x, back_y = (0.24 * (xs[0] - 3) + 0.01 * (ys[0] + 2)) / det, (0.24 * (ys[0] + 2) - 0.01 * (xs[0] - 3)) / det
     out = [("x0", F.least(*xs)), ("y0", F.least(*ys)), ("x1", F.greatest(*xs)), ("y1", F.greatest(*ys)), ("back_x", back_x), ("back_y", back_y)]
-    return corpus.regions(spark, d).select(*PAGE, "region_id", *[F.round(v, 2).alias(n) for n, v in out])
+    return corpus.boxes(spark, d).select(*PAGE, "region_id", *[F.round(v, 2).alias(n) for n, v in out])
 
 
 @query(
@@ -92,7 +92,7 @@ SELECT doc_id, page_index, revision, region_id, round(w * h * 1.4 / (2 * (w + h)
 def crop_geometry(spark: SparkSession, d: str) -> DataFrame:
     """Offset by which a box grows, whether its crop is turned, whether it is large enough, and its width at the recogniser's height."""
     w, h = F.expr("r - l"), F.expr("b - t")
-    return corpus.regions(spark, d).select(*PAGE, "region_id", F.round(w * h * 1.4 / (2 * (w + h)), 6).alias("unclip"), (h / w >= 1.5).alias("turned"), ((w > 3) & (h > 3)).alias("kept"), F.greatest(w / h, F.lit(320.0 / 48)).alias("ratio"))
+    return corpus.boxes(spark, d).select(*PAGE, "region_id", F.round(w * h * 1.4 / (2 * (w + h)), 6).alias("unclip"), (h / w >= 1.5).alias("turned"), ((w > 3) & (h > 3)).alias("kept"), F.greatest(w / h, F.lit(320.0 / 48)).alias("ratio"))
 
 
 @query(
@@ -101,7 +101,7 @@ SELECT doc_id, page_index, revision, CAST((rn - 1) // 6 AS BIGINT) AS batch, cou
 )
 def recognition_batches(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy(*PAGE).orderBy(F.expr("(r - l) / (b - t)"), "region_id")
-    x = corpus.regions(spark, d).withColumn("ratio", F.expr("(r - l) / (b - t)")).withColumn("batch", F.floor((F.row_number().over(w) - 1) / 6))
+    x = corpus.boxes(spark, d).withColumn("ratio", F.expr("(r - l) / (b - t)")).withColumn("batch", F.floor((F.row_number().over(w) - 1) / 6))
     return x.groupBy(*PAGE, "batch").agg(F.count("*").alias("n"), F.ceil(48 * F.greatest(F.max("ratio"), F.lit(320.0 / 48))).alias("width"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindery.functions import text as T
 from bindery.operators import detect
 from bindery.plans import query
 from bindery.sources import corpus
@@ -75,10 +76,12 @@ SQL_CANDIDATES = (
     + """,
 pl AS (SELECT ps.* FROM ps JOIN la USING (doc_id, page_index, revision)),
 cd AS (SELECT *, lag(page_index) OVER w AS prev, lag(anchors) OVER w AS pa FROM pl WHERE status = 'candidate' WINDOW w AS (PARTITION BY doc_id ORDER BY page_index)),
-ce AS (SELECT *, prev IS NOT NULL AND EXISTS (SELECT 1 FROM unnest(anchors) a(x), unnest(pa) b(y) WHERE abs(x - y) <= 0.08)
-   AND (page_index - prev = 1 OR (page_index - prev = 2 AND EXISTS (SELECT 1 FROM pl s WHERE s.doc_id = cd.doc_id AND s.page_index = cd.page_index - 1 AND s.status = 'skipped'))) AS joined FROM cd),
+cm AS (SELECT cd.*, m.status AS ms, m.score AS mscore, m.anchors AS ma, m.nrows >= 3 AND NOT m.excluded AS mrows, page_index - prev AS far, prev IS NOT NULL AND EXISTS (SELECT 1 FROM unnest(cd.anchors) a(x), unnest(pa) b(y) WHERE abs(x - y) <= 0.08) AS agree
+  FROM cd LEFT JOIN (SELECT doc_id, page_index + 1 AS nextp, status, score, anchors, nrows, excluded FROM pl) m ON m.doc_id = cd.doc_id AND m.nextp = cd.page_index AND m.status <> 'candidate'),
+cn AS (SELECT *, coalesce(agree AND far = 2 AND ms = 'rejected' AND mrows AND EXISTS (SELECT 1 FROM unnest(pa) a(x), unnest(ma) b(y) WHERE abs(x - y) <= 0.08) AND EXISTS (SELECT 1 FROM unnest(ma) a(x), unnest(anchors) b(y) WHERE abs(x - y) <= 0.08), false) AS bridged FROM cm),
+ce AS (SELECT *, coalesce(agree AND (far = 1 OR (far = 2 AND ms = 'skipped')), false) OR bridged AS joined FROM cn),
 cf AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page_index) AS island FROM ce),
-cg AS (SELECT doc_id, island, min(page_index) AS first, max(page_index) AS last, count(*) AS n_pages, avg(score) AS mean FROM cf GROUP BY ALL),
+cg AS (SELECT doc_id, island, min(page_index) AS first, max(page_index) AS last, count(*) + count(*) FILTER (bridged) AS n_pages, (sum(score) + coalesce(sum(mscore) FILTER (bridged), 0)) / (count(*) + count(*) FILTER (bridged)) AS mean FROM cf GROUP BY ALL),
 ca AS (SELECT g.doc_id, first, last, n_pages, last - first + 1 - n_pages AS gaps, mean + 0.5 * (n_pages - 1) - (last - first + 1 - n_pages) AS score,
    CASE WHEN first = 0 THEN 'closed' WHEN a.status IS NULL THEN 'may_continue' WHEN a.status = 'skipped' THEN 'unknown' ELSE 'closed' END AS start,
    CASE WHEN z.status IS NULL THEN 'may_continue' WHEN z.status = 'skipped' THEN 'unknown' ELSE 'closed' END AS "end"
@@ -97,10 +100,40 @@ def toc_rows_inline(spark: SparkSession, d: str) -> DataFrame:
     return detect.inline_rows(f).select(*PAGE, "region_id", "token", "leader", "r")
 
 
-@query(SQL_ROWS + " SELECT doc_id, page_index, revision, nid AS region_id, oid AS title_id, token FROM pr")
+SPLIT = r"'(?s)^(.*[ \t\n\r\f\v.])([A-Za-z0-9-]+)$'"
+SQL_APART = SQL_ROWS.replace(
+    "tk AS (SELECT *",
+    f"""fa AS (SELECT * FROM fp WHERE regexp_matches(text, {SPLIT}) AND r - l > 40),
+fq AS (SELECT doc_id, page_index, -revision AS revision, region_id * 4 AS region_id, piece, trim(regexp_extract(text, {SPLIT}, 1), {corpus.SQL_SPACES}) AS text, l, l + (r - l) * CASE WHEN region_id % 2 = 0 THEN 0.6 ELSE 0.1 END AS r, t, b, width * CASE WHEN region_id % 2 = 0 THEN 1.0 ELSE 0.6 END AS width, height FROM fa
+  UNION ALL SELECT doc_id, page_index, -revision, region_id * 4 + 1, piece, regexp_extract(text, {SPLIT}, 2), r - 12, r, t, b, width * CASE WHEN region_id % 2 = 0 THEN 1.0 ELSE 0.6 END, height FROM fa
+  UNION ALL SELECT doc_id, page_index, -revision, region_id * 4 + 2, piece, '*', (l + r) / 2, (l + r) / 2 + 5, t, b, width * 0.6, height FROM fa WHERE region_id % 4 = 1),
+fw AS (SELECT * REPLACE (max(width) OVER (PARTITION BY doc_id, page_index, revision) AS width) FROM fq WHERE text <> ''),
+fu AS (SELECT doc_id, page_index, revision, region_id, piece, text, l, r, t, b, width, height FROM fp UNION ALL SELECT doc_id, page_index, revision, region_id, piece, text, l, r, t, b, width, height FROM fw),
+tk AS (SELECT *""",
+).replace("AS titled FROM fp)", "AS titled FROM fu)")
+
+
+def apart(f: DataFrame) -> DataFrame:
+    """Rows with a reference, set as the table of some books is: title and number in fragments of their own, wide apart on odd regions, with a mark between on some.
+
+    The corpus has no such pages; these copies stand beside them under negative revisions.
+    """
+    pattern = r"^([\s\S]*[ \t\n\r\f\x0B.])([A-Za-z0-9-]+)$"
+    x = f.where(F.col("text").rlike(pattern) & F.expr("r - l > 40")).withColumn("revision", -F.col("revision"))
+    odd = F.col("region_id") % 2 != 0
+    x = x.withColumn("width", F.when(odd, F.col("width") * 0.6).otherwise(F.col("width")))
+    cols = ["region_id", "text", "l", "r"]
+    made = lambda df, i, text, left, right: df.select(*[c for c in df.columns if c not in cols], (F.col("region_id") * 4 + i).alias("region_id"), text.alias("text"), left.alias("l"), right.alias("r"))
+    title = made(x, 0, T.trim(F.regexp_extract("text", pattern, 1)), F.col("l"), F.col("l") + F.expr("r - l") * F.when(odd, 0.1).otherwise(0.6))
+    number = made(x, 1, F.regexp_extract("text", pattern, 2), F.col("r") - 12, F.col("r"))
+    mark = made(x.where("region_id % 4 = 1"), 2, F.lit("*"), F.expr("(l + r) / 2"), F.expr("(l + r) / 2 + 5"))
+    return title.unionByName(number).unionByName(mark).where("text <> ''")
+
+
+@query(SQL_APART + " SELECT doc_id, page_index, revision, nid AS region_id, oid AS title_id, token FROM pr")
 def pair_title_reference(spark: SparkSession, d: str) -> DataFrame:
     f = corpus.fragments(spark, d).join(corpus.pages(spark, d).select(*PAGE, "width", "height").distinct(), PAGE)
-    return detect.paired_rows(f).select(*PAGE, "region_id", "title_id", "token")
+    return detect.paired_rows(f.unionByName(apart(f)))
 
 
 @query(SQL_ROWS + " SELECT doc_id, page_index, revision, round(y, 3) AS y, r, leader, CAST(pieces AS INTEGER) AS pieces FROM un")
@@ -118,7 +151,7 @@ def visual_lines(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL_ROWS + " SELECT doc_id, page_index, revision, first, n, leaders, round(mean, 3) AS mean FROM co")
 def reference_columns(spark: SparkSession, d: str) -> DataFrame:
     f = corpus.fragments(spark, d).join(corpus.pages(spark, d).select(*PAGE, "width", "height").distinct(), PAGE)
-    return detect.columns(detect.reference_rows(f)).select(*PAGE, "first", "n", "leaders", F.round("mean", 3).alias("mean"))
+    return detect.columns(f).select(*PAGE, "first", "n", "leaders", F.round("mean", 3).alias("mean"))
 
 
 @query(SQL_SCORES + " SELECT doc_id, page_index, revision, status, round(score, 3) AS score, CAST(nrows AS BIGINT) AS n_rows, CAST(leaders AS BIGINT) AS leaders, round(density, 3) AS density, len(anchors) AS n_anchors, degraded FROM ps")

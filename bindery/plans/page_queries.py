@@ -113,7 +113,7 @@ def quad_order(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("region_id") % 4
     corner = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("l", "t"), ("r", "t"), ("r", "b"), ("l", "b"))])
     turned = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.element_at(corner, ((i + k) % 4 + 1).cast("int")))
-    x = corpus.regions(spark, d).join(size, PAGE).withColumn("q", acquire.clockwise(turned))
+    x = corpus.boxes(spark, d).join(size, PAGE).withColumn("q", acquire.clockwise(turned))
     cut_ = lambda v, top: F.floor(F.greatest(F.lit(0.0), F.least(v, F.floor(top) - 1))).cast("double")
     x = x.select(*PAGE, "region_id", cut_(F.col("q")[0]["x"], F.col("w")).alias("x0"), cut_(F.col("q")[0]["y"], F.col("h")).alias("y0"), cut_(F.col("q")[2]["x"], F.col("w")).alias("x1"), cut_(F.col("q")[2]["y"], F.col("h")).alias("y1"))
     return x.where("x1 - x0 > 3 and y1 - y0 > 3")
@@ -129,7 +129,7 @@ SELECT doc_id, page_index, revision, CAST(arg_max(list_transform(s, lambda e: e.
 )
 def box_reading_order(spark: SparkSession, d: str) -> DataFrame:
     """Boxes from top to bottom; one that begins less than ten units below others but left of them goes before them."""
-    x = acquire.reading_order(corpus.regions(spark, d))
+    x = acquire.reading_order(corpus.boxes(spark, d))
     return x.select(*PAGE, F.concat(F.lit("["), F.array_join(F.col("ids").cast("array<string>"), ", "), F.lit("]")).alias("ids"))
 
 

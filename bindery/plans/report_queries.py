@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from bindery.operators import assemble
 from bindery.plans import query
-from bindery.plans.mapping_queries import SQL_MARGIN, mapped
-from bindery.plans.plan_queries import books
+from bindery.plans.section_queries import SQL_SECTIONS, resolved
 from bindery.session import cut, kept, read
 from bindery.sources import strict
 
 SQL_ASSEMBLED = (
-    SQL_MARGIN.replace("WITH ", "WITH RECURSIVE ", 1)
+    SQL_SECTIONS.replace("WITH ", "WITH RECURSIVE ", 1)
     + """,
 ea AS (SELECT doc_id, entry_id, min(ord) AS ord, min(title) AS title, min(kind) AS kind, min(nullif(parent, '')) AS parent FROM (SELECT DISTINCT doc_id, entry_id, ord, title, hierarchy.kind AS kind, hierarchy.parent_id AS parent FROM toc_entry) WHERE doc_id IS NOT NULL AND entry_id IS NOT NULL GROUP BY ALL),
 eb AS (SELECT doc_id, entry_id, ord, title, kind, CASE WHEN kind = 'known_parent' THEN parent END AS up FROM ea),
-ms AS (SELECT doc_id, entry_id, min(status) AS status, min(page) AS page FROM mp GROUP BY ALL),
+ms AS (SELECT doc_id, entry_id, min(status) AS status, min(page) AS page FROM er GROUP BY ALL),
 ec AS (SELECT eb.*, status, page, coalesce(status = 'resolved', false) AS kept FROM eb LEFT JOIN ms USING (doc_id, entry_id)),
 wa AS (SELECT doc_id, entry_id, entry_id AS cur, up AS nxt, [entry_id] AS seen FROM ec
   UNION ALL SELECT wa.doc_id, wa.entry_id, ec.entry_id, ec.up, list_append(seen, ec.entry_id) FROM wa JOIN ec ON ec.doc_id = wa.doc_id AND ec.entry_id = wa.nxt WHERE NOT list_contains(seen, ec.entry_id)),
@@ -37,7 +36,7 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assembled(spark: SparkSession, d: str) -> DataFrame:
-    m = mapped(spark, d).groupBy("doc_id", "entry_id").agg(F.min("status").alias("status"), F.min("page").alias("page"))
+    m = resolved(spark, d).groupBy("doc_id", "entry_id").agg(F.min("status").alias("status"), F.min("page").alias("page"))
     return assemble.assemble(kept(entries(spark, d)), m)
 
 

@@ -15,7 +15,16 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
     """Regions with text and a usable box: finite, right of left, bottom below top; repeated rows once."""
     x = read(spark, d, "text_region").select(*PAGE, "region_id", "text", F.col("box_left").alias("l"), F.col("box_top").alias("t"), F.col("box_right").alias("r"), F.col("box_bottom").alias("b"))
     finite = [~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("l", "t", "r", "b")]
-    return x.where(F.col("text").isNotNull() & finite[0] & finite[1] & finite[2] & finite[3] & (F.col("r") > F.col("l")) & (F.col("b") > F.col("t"))).distinct()
+    x = x.where(F.col("text").isNotNull() & finite[0] & finite[1] & finite[2] & finite[3] & (F.col("r") > F.col("l")) & (F.col("b") > F.col("t")))
+    return x.repartition(*PAGE).distinct()  # laid out by page once: neither this nor what groups or joins by page shuffles the texts again
+
+
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The boxes of ``regions`` without their texts, which aren't shuffled."""
+    x = read(spark, d, "text_region").where("text is not null").select(*PAGE, "region_id", F.col("box_left").alias("l"), F.col("box_top").alias("t"), F.col("box_right").alias("r"), F.col("box_bottom").alias("b"))
+    for c in ("l", "t", "r", "b"):
+        x = x.where(~F.isnan(c) & (F.abs(c) < float("inf")))
+    return x.where("r > l and b > t").distinct()
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
