@@ -1,16 +1,15 @@
-"""Bibliographic facts from page lines: lines, roles, titles, editions, years and names."""
+"""Lines of pages, for what is read from their layout."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.functions import text as T
 from bindery.sources.corpus import PAGE
 
 
 def page_lines(fragments: DataFrame) -> DataFrame:
-    """``page, line, text, t, b, h``: fragments whose centre lies within .4 of the larger height of a growing group."""
+    """``page, line, text, t, b, h``: fragments whose centre lies within .4 of the larger height of a growing group; ``h`` is the tallest's."""
     packed = fragments.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(((F.col("t") + F.col("b")) / 2).alias("y"), "l", "region_id", "piece", "text", "t", "b"))).alias("f"))
     ids = F.expr("""
         aggregate(f, named_struct('n', 0, 't', cast(0 as double), 'b', cast(0 as double), 'ids', cast(array() as array<int>)), (a, x) ->
@@ -19,57 +18,5 @@ def page_lines(fragments: DataFrame) -> DataFrame:
              named_struct('n', a.n + 1, 't', x.t, 'b', x.b, 'ids', concat(a.ids, array(a.n + 1)))), a -> a.ids)""")
     x = packed.select(*PAGE, F.explode(F.arrays_zip(F.col("f"), ids.alias("line"))).alias("z")).select(*PAGE, "z.line", "z.f.*")
     parts = F.array_sort(F.collect_list(F.struct("l", "region_id", "piece", "text")))
-    g = x.groupBy(*PAGE, "line").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), F.min("t").alias("t"), F.max("b").alias("b"))
-    return g.withColumn("h", F.col("b") - F.col("t"))
-
-
-def page_roles(lines: DataFrame, inline: Column) -> DataFrame:
-    """``page, role, n_lines, n_copyright, n_reference, median``: copyright, contents, body or sparse."""
-    g = lines.groupBy(*PAGE).agg(
-        F.count("*").alias("n_lines"), F.count_if(T.copyright_line(F.col("text")) & ~T.cites_law(F.col("text"))).alias("n_copyright"), F.count_if(inline).alias("n_reference"),
-        F.bool_or(T.key(F.col("text")).isin("contents", "table of contents", "brief contents", "contents at a glance")).alias("heading"), F.percentile_disc("h", 0.5).alias("median") if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.5) within group (order by h)").alias("median"),
-    )
-    role = F.when(F.col("n_copyright") >= 2, "copyright").when(F.col("heading") | ((F.col("n_reference") * 2 >= F.col("n_lines")) & (F.col("n_reference") >= 3)), "contents").when(F.col("n_lines") <= 3, "sparse").otherwise("body")
-    return g.select(*PAGE, role.alias("role"), "n_lines", "n_copyright", "n_reference", "median")
-
-
-def title_candidates(lines: DataFrame) -> DataFrame:
-    """``doc_id, page_index, title, key, prominence``: the tallest line of letters of each page and how far it stands out."""
-    x = lines.where(T.title_like(F.col("text")) & ~T.copyright_line(F.col("text")))
-    w = Window.partitionBy(*PAGE).orderBy(F.desc("h"), "line")
-    x = x.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("h").over(w)).where("rn = 1")
-    return x.select("doc_id", "page_index", F.col("text").alias("title"), T.key(F.col("text")).alias("key"), F.coalesce(F.col("h") / F.col("next"), F.lit(1.0)).alias("prominence"))
-
-
-def resolve_title(candidates: DataFrame) -> DataFrame:
-    """``doc_id, status, title, pages``: agreed on two pages or more, or clearly prominent once; else ambiguous."""
-    g = candidates.where("key <> ''").groupBy("doc_id", "key").agg(F.countDistinct("page_index").alias("pages"), F.max("prominence").alias("prom"), F.min_by("title", F.struct("page_index", "title")).alias("title"))
-    g = g.withColumn("score", 100 * F.col("pages") + F.least("prom", F.lit(10.0)))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "key")
-    g = g.withColumn("rn", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("rn = 1")
-    clear = (F.col("pages") >= 2) | F.col("second").isNull() | (F.col("prom") >= 1.5)
-    return g.select("doc_id", F.when(clear & (F.col("second").isNull() | (F.col("score") > F.col("second"))), "resolved").otherwise("ambiguous").alias("status"), "title", "pages")
-
-
-def copyright_years(lines: DataFrame) -> DataFrame:
-    """``doc_id, status, year, n_years``: one year on copyright lines resolves, several are ambiguous."""
-    t = F.col("text")
-    x = lines.where(T.copyright_line(t) & ~T.cites_law(t) & ~F.contains(T.lower_ascii(t), F.lit("isbn"))).select("doc_id", F.explode(T.years(t)).alias("y")).distinct()
-    g = x.groupBy("doc_id").agg(F.count("*").alias("n_years"), F.min("y").alias("low"))
-    return g.select("doc_id", F.when(F.col("n_years") == 1, "resolved").otherwise("ambiguous").alias("status"), F.when(F.col("n_years") == 1, F.col("low")).alias("year"), "n_years")
-
-
-def ordinal_value(x: Column) -> Column:
-    """Value of an ordinal word up to twelfth or of 1st..999th, else null."""
-    v = T.lower_ascii(x)
-    at = F.array_position(F.array(*[F.lit(o) for o in T.ORDINALS]), v)
-    number = F.regexp_extract(v, "^([0-9]{1,3})(?:st|nd|rd|th)$", 1)
-    return F.when(at > 0, at.cast("int")).when(number != "", number.cast("int"))
-
-
-def editions(lines: DataFrame) -> DataFrame:
-    """``doc_id, status, edition, n``: all statements agree, or the highest of a printing history is ambiguous."""
-    word = F.regexp_extract(T.lower_ascii(F.col("text")), "(first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|[0-9]{1,3}(?:st|nd|rd|th)) edition", 1)
-    x = lines.select("doc_id", ordinal_value(word).alias("n")).where("n is not null")
-    g = x.groupBy("doc_id").agg(F.countDistinct("n").alias("k"), F.max("n").alias("top"))
-    return g.select("doc_id", F.when(F.col("k") == 1, "resolved").otherwise("ambiguous").alias("status"), F.col("top").alias("edition"), F.col("k").alias("n"))
+    g = x.groupBy(*PAGE, "line").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), F.min("t").alias("t"), F.max("b").alias("b"), F.max(F.expr("b - t")).alias("h"))
+    return g

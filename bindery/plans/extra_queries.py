@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions import text as T
-from bindery.plans import query
+from bindery.plans import query, rules
 from bindery.plans.mapping_queries import SQL_MARGIN, body, latest_fragments, mapped, observations, toc_sources
 from bindery.plans.scalar_queries import KEY, TOC, toc
 from bindery.session import cut, read
@@ -44,26 +44,10 @@ def section_repair(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "entry_id", "damaged", number.alias("number")).where("number <> ''")
 
 
-STOP = "['the','a','an','of','to','and','for','in','on','with','by','from','introduction','edition','series','press','chapter','contents','volume','university','institute','department','school','handbook','guide','manual','library','all','rights','reserved','group','preface','cover','design','international','global']"
-# Words that are in no personal name.
-STOPWORDS = ["the", "a", "an", "of", "to", "and", "for", "in", "on", "with", "by", "from", "introduction", "edition", "series", "press", "chapter", "contents", "volume", "university", "institute", "department", "school", "handbook", "guide", "manual", "library", "all", "rights", "reserved", "group", "preface", "cover", "design", "international", "global"]
-
-
-@query(
-    f"""SELECT DISTINCT contributor_id, len(tok) BETWEEN 2 AND 5 AND NOT contains(v, chr(173)) AND len(list_filter(tok, lambda w: NOT regexp_matches(w, '^[A-ZÀ-ÞŁ]'))) = 0
-  AND len(list_filter(tok, lambda w: NOT regexp_matches(w, '^[A-Z]\\.?$') AND list_contains({STOP}, {KEY.format("w")}))) = 0
-  AND len(list_filter(tok, lambda w: regexp_matches(w, '^.[a-zß-ÿ]'))) >= 1 AS name_like, len(tok) AS n_tokens
-  FROM (SELECT contributor_id, v, string_split(v, ' ') AS tok FROM (SELECT contributor_id, trim(regexp_replace(replace(name, chr(160), ' '), '[ \t\n\r\f\v]+', ' ', 'g'), {SQL_SPACES}) AS v FROM contributor WHERE name IS NOT NULL))"""
-)
+@query(f"SELECT DISTINCT contributor_id, {rules.name_like('name')} AS name_like FROM contributor WHERE name IS NOT NULL")
 def name_like(spark: SparkSession, d: str) -> DataFrame:
-    """Two to five capitalised tokens, initials allowed, no stop word among them, at least one word with small letters."""
-    v = T.squeeze(F.replace("name", F.lit("\xa0"), F.lit(" ")))
-    tok = F.split(v, " ")
-    capital = F.forall(tok, lambda w: w.rlike("^[A-ZÀ-ÞŁ]"))
-    stop = F.exists(tok, lambda w: ~w.rlike(r"^[A-Z]\.?$") & T.key(w).isin(STOPWORDS))
-    word = F.exists(tok, lambda w: w.rlike("^.[a-zß-ÿ]"))
-    ok = F.size(tok).between(2, 5) & ~F.contains(v, F.lit("\xad")) & capital & ~stop & word
-    return read(spark, d, "contributor").where("name is not null").select("contributor_id", ok.alias("name_like"), F.size(tok).cast("long").alias("n_tokens")).distinct()
+    """Two to five capitalised tokens, initials allowed, no stop word among them, small capitals told."""
+    return read(spark, d, "contributor").where("name is not null").select("contributor_id", T.name_like(F.col("name")).alias("name_like")).distinct()
 
 
 SQL_NEAR = (
@@ -151,24 +135,3 @@ def column_clusters(spark: SparkSession, d: str) -> DataFrame:
     x = packed.select(*PAGE, fold.alias("c"))
     center = F.transform("c", lambda c: c["total"] / c["n"])
     return x.select(*PAGE, F.size("c").alias("n_clusters"), F.col("c")[0]["n"].alias("n_first"), F.element_at("c", -1)["n"].alias("n_last"), F.round(F.array_max(center) - F.array_min(center), 2).alias("spread"))
-
-
-@query(
-    f"""SELECT isbn13, count(*) AS n, min(p_partkey) AS first_part, string_agg(DISTINCT form, ',' ORDER BY form) AS forms FROM (
-  SELECT p_partkey, 'isbn13' AS form, '978' || nine || CAST((10 - (38 + (list_sum(list_transform(range(1, 10), lambda i: CAST(nine[i] AS INTEGER) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)))) % 10) % 10 AS VARCHAR) AS isbn13
-    FROM (SELECT p_partkey, lpad(CAST((p_partkey % 500) * 7919 AS VARCHAR), 9, '0') AS nine FROM part) WHERE p_partkey % 3 <> 0
-  UNION ALL SELECT p_partkey, 'isbn10', '978' || nine || CAST((10 - (38 + (list_sum(list_transform(range(1, 10), lambda i: CAST(nine[i] AS INTEGER) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)))) % 10) % 10 AS VARCHAR)
-    FROM (SELECT p_partkey, lpad(CAST((p_partkey % 500) * 7919 AS VARCHAR), 9, '0') AS nine FROM part) WHERE p_partkey % 2 = 0) GROUP BY isbn13"""
-)
-def isbn_list(spark: SparkSession, d: str) -> DataFrame:
-    """Printed ISBNs made of part keys, in both forms and partly with a wrong check digit: scanned, checked and merged by ISBN-13."""
-    nine = F.lpad(((F.col("p_partkey") % 500) * 7919).cast("string"), 9, "0")
-    x = read(spark, d, "part").select("p_partkey", nine.alias("nine"))
-    c13, c10 = T.isbn13_check(F.concat(F.lit("978"), "nine")), T.isbn10_check(F.col("nine"))
-    wrong = F.when(F.col("p_partkey") % 3 == 0, (c13 + 1) % 10).otherwise(c13)
-    line = F.concat(F.lit("ISBN 978-"), F.substring("nine", 1, 1), F.lit("-"), F.substring("nine", 2, 4), F.lit("–"), F.substring("nine", 6, 4), F.lit(" "), wrong.cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" or ISBN-10: "), "nine", F.lit("-"), c10)).otherwise(F.lit("")))
-    x = x.select("p_partkey", F.regexp_replace(line, "[-–]", "").alias("line"))
-    a = x.select("p_partkey", F.lit("isbn13").alias("form"), F.replace(F.regexp_extract("line", "(97[89][0-9]{9} ?[0-9])(?:[^0-9]|$)", 1), F.lit(" "), F.lit("")).alias("v")).where("v <> ''").where(T.isbn13_check(F.col("v")).cast("string") == F.substring("v", 13, 1))
-    b = x.select("p_partkey", F.lit("isbn10").alias("form"), F.regexp_extract("line", "ISBN10: ([0-9]{9}[0-9X])", 1).alias("w")).where("w <> ''").where(T.isbn10_check(F.col("w")) == F.substring("w", 10, 1))
-    b = b.withColumn("v", F.concat(F.lit("978"), F.substring("w", 1, 9))).select("p_partkey", "form", F.concat("v", T.isbn13_check(F.col("v")).cast("string")).alias("v"))
-    return a.unionByName(b).groupBy(F.col("v").alias("isbn13")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"), F.array_join(F.array_sort(F.collect_set("form")), ",").alias("forms"))

@@ -8,15 +8,11 @@ from pyspark.sql import functions as F
 from bindery.functions import text as T
 from bindery.operators import metadata
 from bindery.plans import query
-from bindery.plans.detect_queries import LETTERS, REF, TAIL
-from bindery.plans.scalar_queries import KEY, LOW
+from bindery.plans.scalar_queries import KEY
 from bindery.session import read
 from bindery.sources import corpus
 from bindery.sources.corpus import PAGE, SQL_FRAGMENTS, SQL_PAGES
 
-COPY = f"""(regexp_matches({LOW.format("text")}, '©|copyright|\\(c\\) |all rights reserved|isbn|first published|printed in|library of congress|published by|cataloging|cataloguing') OR
-  regexp_matches({LOW.format("text")}, '^((0|o)[ \t]+|c[ \t]*|\\(c\\)[ \t]*)(1[4-9][0-9][0-9]|20[0-9][0-9]|2100),?[ \t]+[a-z]'))"""
-LAW = f"regexp_matches({LOW.format('text')}, '\\bact[ \t]+(of[ \t]+)?[0-9]{{4}}\\b|\\b(copyright|patents?|rights|protection)[ \t]+act\\b')"
 SQL_LINES = (
     f"WITH RECURSIVE {SQL_FRAGMENTS}, {SQL_PAGES}"
     + """,
@@ -25,18 +21,8 @@ lg AS (SELECT doc_id, page_index, revision, i, 1 AS line, t, b FROM fo WHERE i =
   UNION ALL SELECT fo.doc_id, fo.page_index, fo.revision, fo.i, lg.line + CASE WHEN abs(fo.y - (lg.t + lg.b) / 2) <= 0.4 * greatest(fo.b - fo.t, lg.b - lg.t) THEN 0 ELSE 1 END,
     CASE WHEN abs(fo.y - (lg.t + lg.b) / 2) <= 0.4 * greatest(fo.b - fo.t, lg.b - lg.t) THEN least(lg.t, fo.t) ELSE fo.t END, CASE WHEN abs(fo.y - (lg.t + lg.b) / 2) <= 0.4 * greatest(fo.b - fo.t, lg.b - lg.t) THEN greatest(lg.b, fo.b) ELSE fo.b END
   FROM lg JOIN fo ON fo.doc_id = lg.doc_id AND fo.page_index = lg.page_index AND fo.revision = lg.revision AND fo.i = lg.i + 1),
-lx AS (SELECT fo.doc_id, fo.page_index, fo.revision, lg.line, string_agg(text, ' ' ORDER BY l, region_id, piece) AS text, min(fo.t) AS t, max(fo.b) AS b, max(fo.b) - min(fo.t) AS h FROM fo JOIN lg USING (doc_id, page_index, revision, i) GROUP BY ALL)"""
+lx AS (SELECT fo.doc_id, fo.page_index, fo.revision, lg.line, string_agg(text, ' ' ORDER BY l, region_id, piece) AS text, min(fo.t) AS t, max(fo.b) AS b, max(fo.b - fo.t) AS h FROM fo JOIN lg USING (doc_id, page_index, revision, i) GROUP BY ALL)"""
 )
-SQL_TITLE = (
-    SQL_LINES
-    + f""",
-tc AS (SELECT *, row_number() OVER w AS rn, lead(h) OVER w AS nh FROM lx WHERE length({LETTERS.format("text")}) >= 2 AND NOT {COPY} WINDOW w AS (PARTITION BY doc_id, page_index, revision ORDER BY h DESC, line)),
-td AS (SELECT doc_id, page_index, text AS title, {KEY.format("text")} AS key, coalesce(h / nh, 1.0) AS prominence FROM tc WHERE rn = 1),
-te AS (SELECT doc_id, key, count(DISTINCT page_index) AS pages, max(prominence) AS prom, arg_min(title, (page_index, title)) AS title, 100 * count(DISTINCT page_index) + least(max(prominence), 10.0) AS score FROM td WHERE key <> '' GROUP BY doc_id, key),
-tf AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM te WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, key))"""
-)
-
-
 def lines(spark: SparkSession, d: str) -> DataFrame:
     return metadata.page_lines(corpus.fragments(spark, d).join(corpus.latest(spark, d).select(*PAGE), PAGE, "left_semi"))
 
@@ -46,49 +32,6 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).select(*PAGE, "line", "text", F.round("h", 3).alias("h"))
 
 
-@query(
-    SQL_LINES
-    + f""" SELECT doc_id, page_index, revision, CASE WHEN n_copyright >= 2 THEN 'copyright' WHEN heading OR (n_reference * 2 >= n_lines AND n_reference >= 3) THEN 'contents' WHEN n_lines <= 3 THEN 'sparse' ELSE 'body' END AS role,
-  n_lines, n_copyright, n_reference, round(median, 3) AS median FROM (SELECT doc_id, page_index, revision, count(*) AS n_lines, count(*) FILTER ({COPY} AND NOT {LAW}) AS n_copyright,
-    count(*) FILTER (regexp_matches(text, {TAIL}) AND regexp_matches(regexp_extract(text, {TAIL}, 2), {REF}) AND length({LETTERS.format(f"regexp_extract(text, {TAIL}, 1)")}) >= 2) AS n_reference,
-    bool_or({KEY.format("text")} IN ('contents', 'table of contents', 'brief contents', 'contents at a glance')) AS heading, quantile_disc(h, 0.5) AS median FROM lx GROUP BY ALL)"""
-)
-def page_roles(spark: SparkSession, d: str) -> DataFrame:
-    return metadata.page_roles(lines(spark, d), T.inline_token(F.col("text")).isNotNull()).withColumn("median", F.round("median", 3))
-
-
-@query(SQL_TITLE + " SELECT doc_id, page_index, title, key, round(prominence, 6) AS prominence FROM td")
-def title_block(spark: SparkSession, d: str) -> DataFrame:
-    return metadata.title_candidates(lines(spark, d)).withColumn("prominence", F.round("prominence", 6))
-
-
-@query(SQL_TITLE + " SELECT doc_id, CASE WHEN (pages >= 2 OR second IS NULL OR prom >= 1.5) AND (second IS NULL OR score > second) THEN 'resolved' ELSE 'ambiguous' END AS status, title, pages FROM tf WHERE rn = 1")
-def title_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return metadata.resolve_title(metadata.title_candidates(lines(spark, d)))
-
-
-@query(
-    SQL_LINES
-    + f""", yy AS (SELECT DISTINCT doc_id, unnest(list_filter(list_transform(list_filter(string_split_regex(text, '[^0-9]+'), lambda y: length(y) = 4), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1450 AND 2100)) AS y
-  FROM lx WHERE {COPY} AND NOT {LAW} AND NOT contains({LOW.format("text")}, 'isbn'))
-SELECT doc_id, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(*) = 1 THEN min(y) END AS year, count(*) AS n_years FROM yy GROUP BY doc_id"""
-)
-def years_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return metadata.copyright_years(lines(spark, d))
-
-
-@query(
-    """SELECT p_partkey % 97 AS doc_id, CASE WHEN count(DISTINCT n) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, max(n) AS edition, count(DISTINCT n) AS n FROM (
-  SELECT p_partkey, CASE WHEN p_size % 30 BETWEEN 1 AND 12 THEN p_size % 30 WHEN p_size % 30 > 12 THEN CAST(p_size AS INTEGER) END AS n FROM part) WHERE n IS NOT NULL GROUP BY ALL"""
-)
-def edition(spark: SparkSession, d: str) -> DataFrame:
-    """Statements made of part sizes: words up to twelve, numerals beyond, none at 0 and 30."""
-    k = F.col("p_size") % 30
-    word = F.element_at(F.array(*[F.lit(o) for o in T.ORDINALS]), k.cast("int"))
-    said = F.when(k.between(1, 12), F.concat(F.lit("The "), F.initcap(F.when(k.between(1, 12), word)), F.lit(" Edition, revised"))).when(k > 12, F.concat(F.col("p_size").cast("string"), F.lit("th edition")))
-    return metadata.editions(read(spark, d, "part").select((F.col("p_partkey") % 97).alias("doc_id"), said.alias("text")))
-
-
 @query(
     f"""SELECT key, count(DISTINCT doc_id) AS books, count(DISTINCT contributor_id) AS n, bool_or(role = 'author') AS author, count(DISTINCT doc_id) >= 2 AS supported
   FROM (SELECT doc_id, contributor_id, role, {KEY.format("name")} AS key FROM contributor WHERE name IS NOT NULL) WHERE key <> '' GROUP BY key"""

@@ -128,21 +128,6 @@ def line_flags(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(
-    f"""SELECT doc_id, page_index, revision, line_no,
-  regexp_matches({LOW.format("text")}, '©|copyright|\\(c\\) |all rights reserved|isbn|first published|printed in|library of congress|published by|cataloging|cataloguing') OR
-  regexp_matches({LOW.format("text")}, '^((0|o)[ \t]+|c[ \t]*|\\(c\\)[ \t]*)(1[4-9][0-9][0-9]|20[0-9][0-9]|2100),?[ \t]+[a-z]') AS copyright,
-  regexp_matches({LOW.format("text")}, '\\bact[ \t]+(of[ \t]+)?[0-9]{{4}}\\b|\\b(copyright|patents?|rights|protection)[ \t]+act\\b') AS law,
-  regexp_matches({LOW.format("text")}, 'press|publish|publications|verlag|series|group|llc| inc|ltd|books| book|&|www\\.|http|isbn|imprint|edition') AS publisher,
-  array_to_string(list_filter(list_transform(list_filter(string_split_regex(text, '[^0-9]+'), lambda y: length(y) = 4), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1450 AND 2100), ',') AS years
-  FROM ({LINES})"""
-)
-def copyright_lines(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    publisher = T.lower_ascii(t).rlike(r"press|publish|publications|verlag|series|group|llc| inc|ltd|books| book|&|www\.|http|isbn|imprint|edition")
-    return lines(spark, d).select(*LINE, T.copyright_line(t).alias("copyright"), T.cites_law(t).alias("law"), publisher.alias("publisher"), F.array_join(F.transform(T.years(t), lambda y: y.cast("string")), ",").alias("years"))
-
-
 @query(
     """SELECT p_partkey, nine, CAST((10 - s13 % 10) % 10 AS INTEGER) AS check13, CASE (11 - s10 % 11) % 11 WHEN 10 THEN 'X' ELSE CAST((11 - s10 % 11) % 11 AS VARCHAR) END AS check10,
   '978' || nine || CAST((10 - s13 % 10) % 10 AS VARCHAR) AS isbn13, (10 - s13 % 10) % 10 = p_partkey % 10 AS printed_ok
@@ -157,20 +142,6 @@ def isbn_checks(spark: SparkSession, d: str) -> DataFrame:
     return x.select("p_partkey", "nine", c.alias("check13"), T.isbn10_check(F.col("nine")).alias("check10"), F.concat(F.lit("978"), "nine", c.cast("string")).alias("isbn13"), (c == F.col("p_partkey") % 10).alias("printed_ok"))
 
 
-@query(
-    f"""SELECT DISTINCT contributor_id, regexp_extract({LOW.format("v")}, '^(edited by|translated by|by) ', 1) AS role_phrase,
-  len(list_filter(string_split_regex(regexp_replace(v, ' and | & |;', ',', 'g'), ','), lambda p: trim(p, ' ') <> '')) AS n_names,
-  regexp_matches({LOW.format("v")}, ' inc| llc| ltd|group|university|institute|corporation|company|foundation|association|society|consortium') AS organization
-  FROM (SELECT contributor_id, trim(regexp_replace(name, '[ \t\n\r\f\v]+', ' ', 'g'), {SQL_SPACES}) AS v FROM contributor WHERE name IS NOT NULL)"""
-)
-def contributor_parts(spark: SparkSession, d: str) -> DataFrame:
-    v = T.squeeze(F.col("name"))
-    low = T.lower_ascii(v)
-    names = F.filter(F.split(F.regexp_replace(v, " and | & |;", ","), ","), lambda p: F.btrim(p, F.lit(" ")) != "")
-    organization = low.rlike(" inc| llc| ltd|group|university|institute|corporation|company|foundation|association|society|consortium")
-    return read(spark, d, "contributor").where("name is not null").select("contributor_id", F.regexp_extract(low, "^(edited by|translated by|by) ", 1).alias("role_phrase"), F.size(names).cast("long").alias("n_names"), organization.alias("organization")).distinct()
-
-
 @query("SELECT DISTINCT doc_id, sha256, lower(hex(from_hex(sha256))) = sha256 AS round_trip, length(sha256) = 64 AS whole, sha256(doc_id || coalesce(title, '')) AS digest FROM book WHERE sha256 IS NOT NULL")
 def digests(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "book").where("sha256 is not null")
@@ -178,12 +149,12 @@ def digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, length(text) AS scalars, length(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g')) AS visible, length(text) - length(replace(text, '�', '')) AS replaced, strlen(text) AS bytes
+    r"""SELECT doc_id, length(text) AS scalars, length(regexp_replace(text, '[\t \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')) AS visible, length(text) - length(replace(text, '�', '')) AS replaced, strlen(text) AS bytes
   FROM documents WHERE text IS NOT NULL"""
 )
 def utf8_counts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    visible = F.length(F.regexp_replace(t, r"[ \t\n\r\f\x0B]", ""))
+    visible = F.length(F.regexp_replace(t, r"[\t \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", ""))
     return read(spark, d, "documents").where("text is not null").select("doc_id", F.length(t).cast("long").alias("scalars"), visible.cast("long").alias("visible"), (F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))).cast("long").alias("replaced"), F.octet_length(t).cast("long").alias("bytes"))
 
 
