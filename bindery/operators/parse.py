@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions import text as T
@@ -42,19 +45,91 @@ def wrapped(rows: DataFrame) -> DataFrame:
 
 
 def by_indent(entries: DataFrame) -> DataFrame:
-    """``doc_id, entry_id, indent, kind, parent_id``: the parent is the latest earlier entry at least 16 points to the left.
+    """``doc_id, entry_id, indent, kind, parent_id``: the parent is the latest earlier entry of the column at least 16 points to the left.
 
-    ``entries`` has ``doc_id, entry_id, ord, left``. Within 8 points of the
-    document's smallest left an entry is a root; without a parent it is unknown.
+    ``entries`` has ``doc_id, entry_id, ord, left`` and may have ``column``.
+    Within 8 points of the column's smallest left an entry is a root; without a
+    parent it is unknown. A book's entries are read once in order; only those
+    that later ones may still go below are kept, so a book of any length will do.
     """
-    base = entries.withColumn("indent", F.col("left") - F.min("left").over(Window.partitionBy("doc_id")))
-    packed = base.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "entry_id", "indent"))).alias("e"))
-    pick = F.expr(f"""transform(e, (x, i) -> named_struct('x', x, 'p', try_element_at(filter(slice(e, 1, i), y -> y.indent + {CHILD_INDENT}D <= x.indent), -1).entry_id))""")
-    x = packed.select("doc_id", F.explode(pick).alias("z")).select("doc_id", "z.x.entry_id", "z.x.indent", F.col("z.p").alias("p"))
+    x = entries if "column" in entries.columns else entries.withColumn("column", F.lit(0))
+    base = x.withColumn("indent", F.col("left") - F.min("left").over(Window.partitionBy("doc_id", "column")))
+    base = base.select("doc_id", F.col("column").cast("int").alias("column"), "ord", "entry_id", "indent")
+    base = base.repartition(F.col("doc_id"), F.col("column")).sortWithinPartitions("doc_id", "column", "ord", "entry_id")
+    x = base.mapInPandas(_parents, "doc_id string, entry_id string, indent double, p string")
     root = F.col("indent") <= ROOT_INDENT
     return x.select("doc_id", "entry_id", "indent", F.when(root, "root").when(F.col("p").isNotNull(), "known_parent").otherwise("unknown").alias("kind"), F.when(~root, F.col("p")).alias("parent_id"))
 
 
+def _parents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    now, open_ = None, []
+    for b in batches:
+        rows = []
+        for d, c, e, i in zip(b["doc_id"], b["column"], b["entry_id"], b["indent"]):
+            if (d, c) != now:
+                now, open_ = (d, c), []
+            # an earlier entry that isn't further left than this one can't be a parent after it
+            up = next((p for at, p in reversed(open_) if at + CHILD_INDENT <= i), None)
+            while open_ and open_[-1][0] >= i:
+                open_.pop()
+            open_.append((i, e))
+            rows.append((d, e, i, up))
+        yield pd.DataFrame(rows, columns=["doc_id", "entry_id", "indent", "p"])
+
+
+def merged_hierarchy(indent: DataFrame, number: DataFrame) -> DataFrame:
+    """``doc_id, entry_id, kind, parent_id, reason``: a parent by number goes before one by indentation."""
+    n = number.where("parent_id is not null").select("doc_id", "entry_id", F.col("parent_id").alias("by_number"))
+    x = indent.join(n, ["doc_id", "entry_id"], "left")
+    told = F.col("by_number").isNotNull()
+    reason = F.when(told & F.col("parent_id").eqNullSafe(F.col("by_number")), "both").when(told & (F.col("kind") != "unknown"), "number_overrides").when(told, "number").when(F.col("kind") == "unknown", "none").otherwise("indent")
+    return x.select("doc_id", "entry_id", F.when(told, "known_parent").otherwise(F.col("kind")).alias("kind"), F.coalesce("by_number", "parent_id").alias("parent_id"), reason.alias("reason"))
+
+
+def page_columns(fragments: DataFrame) -> DataFrame:
+    """``page, n_clusters, two_columns, divider``: two columns if the right edges of references part in two.
+
+    ``fragments`` has the page's ``width``. Edges are clustered by a running
+    mean within 18 points; the outer clusters need two references each and a
+    quarter of the width between them. The divider lies between the left one
+    and what begins right of it.
+    """
+    cited = T.inline_token(F.col("text")).isNotNull() | F.col("text").rlike(T.REFERENCE)
+    g = fragments.groupBy(*PAGE).agg(F.max("width").alias("w"), F.array_sort(F.collect_list(F.when(cited, F.col("r")))).alias("e"), F.collect_list("l").alias("ls"))
+    fold = F.expr("""
+        aggregate(e, cast(array() as array<struct<mean:double,n:int>>), (out, r) ->
+          if(size(out) > 0 and r - element_at(out, -1).mean <= 18,
+             concat(slice(out, 1, size(out) - 1), array(named_struct('mean', (element_at(out, -1).mean * element_at(out, -1).n + r) / (element_at(out, -1).n + 1), 'n', element_at(out, -1).n + 1))),
+             concat(out, array(named_struct('mean', r, 'n', 1)))))""")
+    g = g.withColumn("c", fold)
+    first, last = F.col("c")[0], F.element_at("c", -1)
+    two = (F.size("c") >= 2) & (first["n"] >= 2) & (last["n"] >= 2) & ((last["mean"] - first["mean"]) / F.col("w") >= 0.25)
+    two = F.when(F.size("c") >= 2, two).otherwise(F.lit(False))
+    start = F.array_min(F.filter("ls", lambda l: l > F.col("c")[0]["mean"] + 0.02 * F.col("w")))
+    divider = F.when(two, (first["mean"] + F.coalesce(start, last["mean"])) / 2)
+    return g.select(*PAGE, F.size("c").alias("n_clusters"), two.alias("two_columns"), divider.alias("divider"))
+
+
+def in_columns(fragments: DataFrame, columns: DataFrame) -> DataFrame:
+    """Fragments with their ``column``: 1 right of a page's divider, else 0."""
+    x = fragments.join(columns.select(*PAGE, "divider"), PAGE)
+    return x.withColumn("column", F.when(F.col("l") >= F.col("divider"), 1).otherwise(0)).drop("divider")
+
+
+def entry_ids(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``ord`` in the order of page, revision and row, and the id made of these."""
+    w = Window.partitionBy("doc_id").orderBy("page_index", "revision", "row")
+    x = rows.withColumn("ord", F.row_number().over(w) - 1)
+    return x.withColumn("entry_id", F.concat(F.lit("toc/p"), F.col("page_index"), F.lit("r"), F.col("revision"), F.lit("e"), F.col("ord")))
+
+
+def heading_with_reference(title: Column) -> Column:
+    """Whether a heading's words can have a reference behind them: three words, or two of which the first is no label."""
+    words = F.filter(F.split(T.lower_ascii(T.trim(title)), " "), lambda w: w != "")
+    n = F.size(words)
+    return (n >= 3) | ((n == 2) & ~F.coalesce(words[0].isin("part", "chapter", "section", "appendix"), F.lit(False)))
+
+
 def by_number(entries: DataFrame) -> DataFrame:
     """``doc_id, entry_id, number, parent_id``: the latest earlier entry whose number is this one's without its last part."""
     number = F.coalesce(F.nullif(T.section_number(F.col("title")), F.lit("")), F.nullif(F.regexp_extract("title", r"^(?:Chapter |Appendix |Part )?([A-Z]|[0-9]+)[.: ]", 1), F.lit("")))

@@ -89,19 +89,6 @@ def front_matter_split(spark: SparkSession, d: str) -> DataFrame:
     return g.select("doc_id", "n_pages", "n_offsets", F.when(F.col("n_offsets") == 1, F.col("o")).alias("front_offset"))
 
 
-@query(
-    SQL_MARGIN
-    + """, nd AS (SELECT DISTINCT doc_id, ord, dest FROM bookmark_node WHERE dest IS NOT NULL), ov AS (SELECT DISTINCT t.doc_id, t.entry_id, nd.dest FROM toc_entry t JOIN nd ON nd.doc_id = t.doc_id AND nd.ord = t.ord)
-SELECT mp.doc_id, mp.entry_id, coalesce(ov.dest, mp.page) AS page, CASE WHEN ov.dest IS NOT NULL THEN 'override' ELSE mp.method END AS method, coalesce(ov.dest <> mp.page, false) AS contradicts FROM mp LEFT JOIN ov USING (doc_id, entry_id)"""
-)
-def manual_overrides(spark: SparkSession, d: str) -> DataFrame:
-    """Destinations of bookmarks of the same place as overrides of entries: they win, and whether they contradict."""
-    node = read(spark, d, "bookmark_node").where("dest is not null").select("doc_id", "ord", "dest").distinct()
-    over = toc(spark, d).select("doc_id", "entry_id", "ord").distinct().join(node, ["doc_id", "ord"]).select("doc_id", "entry_id", "dest").distinct()
-    x = mapped(spark, d).join(over, ["doc_id", "entry_id"], "left")
-    return x.select("doc_id", "entry_id", F.coalesce("dest", "page").alias("page"), F.when(F.col("dest").isNotNull(), "override").otherwise(F.col("method")).alias("method"), F.coalesce(F.col("dest") != F.col("page"), F.lit(False)).alias("contradicts"))
-
-
 @query(
     SQL_MARGIN
     + """ SELECT b.doc_id, CASE WHEN e.n IS NULL THEN 'no_entries' WHEN e.open = 0 THEN 'ready' WHEN e.done = 0 THEN 'blocked' ELSE 'partial' END AS outcome, coalesce(e.done, 0) AS resolved, coalesce(e.open, 0) AS open
@@ -112,26 +99,3 @@ def analysis_outcome(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "book").select("doc_id").distinct().join(g, "doc_id", "left")
     outcome = F.when(F.col("open").isNull(), "no_entries").when(F.col("open") == 0, "ready").when(F.col("done") == 0, "blocked").otherwise("partial")
     return x.select("doc_id", outcome.alias("outcome"), F.coalesce("done", F.lit(0)).alias("resolved"), F.coalesce("open", F.lit(0)).alias("open"))
-
-
-@query(
-    f"""WITH RECURSIVE {SQL_FRAGMENTS}, {SQL_PAGES}, en AS (SELECT DISTINCT doc_id, s.page_index AS page_index, s.revision AS revision FROM (SELECT doc_id, unnest(sources) AS s FROM toc_entry)),
-x AS (SELECT fr.*, row_number() OVER (PARTITION BY doc_id, page_index, revision ORDER BY r, region_id, piece) AS i FROM fr SEMI JOIN en USING (doc_id, page_index, revision)),
-c AS (SELECT doc_id, page_index, revision, i, r, CAST(r AS DOUBLE) AS mean, 1 AS n, 1 AS cluster FROM x WHERE i = 1
-  UNION ALL SELECT x.doc_id, x.page_index, x.revision, x.i, x.r, CASE WHEN x.r - c.mean <= 18 THEN c.mean + (x.r - c.mean) / (c.n + 1) ELSE x.r END, CASE WHEN x.r - c.mean <= 18 THEN c.n + 1 ELSE 1 END, c.cluster + CASE WHEN x.r - c.mean <= 18 THEN 0 ELSE 1 END
-  FROM c JOIN x ON x.doc_id = c.doc_id AND x.page_index = c.page_index AND x.revision = c.revision AND x.i = c.i + 1),
-g AS (SELECT doc_id, page_index, revision, cluster, count(*) AS n, avg(r) AS center FROM c GROUP BY ALL)
-SELECT doc_id, page_index, revision, CAST(count(*) AS INTEGER) AS n_clusters, CAST(arg_min(n, cluster) AS INTEGER) AS n_first, CAST(arg_max(n, cluster) AS INTEGER) AS n_last, round(max(center) - min(center), 2) AS spread FROM g GROUP BY ALL"""
-)
-def column_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Right edges of a contents page in clusters of a running mean: how many, the outer ones' sizes and their distance."""
-    f = corpus.fragments(spark, d).join(toc_sources(spark, d).select(*PAGE).distinct(), PAGE, "left_semi")
-    packed = f.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("r", "region_id", "piece"))).alias("e"))
-    fold = F.expr("""
-        aggregate(e, cast(array() as array<struct<mean:double,n:int,total:double>>), (out, x) ->
-          if(size(out) > 0 and x.r - element_at(out, -1).mean <= 18,
-             concat(slice(out, 1, size(out) - 1), array(named_struct('mean', element_at(out, -1).mean + (x.r - element_at(out, -1).mean) / (element_at(out, -1).n + 1), 'n', element_at(out, -1).n + 1, 'total', element_at(out, -1).total + x.r))),
-             concat(out, array(named_struct('mean', x.r, 'n', 1, 'total', x.r)))))""")
-    x = packed.select(*PAGE, fold.alias("c"))
-    center = F.transform("c", lambda c: c["total"] / c["n"])
-    return x.select(*PAGE, F.size("c").alias("n_clusters"), F.col("c")[0]["n"].alias("n_first"), F.element_at("c", -1)["n"].alias("n_last"), F.round(F.array_max(center) - F.array_min(center), 2).alias("spread"))

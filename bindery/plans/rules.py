@@ -64,4 +64,4 @@ def name_like(x: str) -> str:
     return f"(len({w}) BETWEEN 2 AND 5 AND NOT contains({v}, chr(173)) AND len(list_filter({w}, lambda u: NOT ({good}))) = 0 AND len(list_filter({w}, lambda u: {spelled})) > 0 AND NOT {apart})"
 
 
-SPACES = SQL_SPACES
+

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bindery.plans import QUERIES, SQL
-from bindery.plans import acquire_queries, detect_queries, extra_queries, front_queries, hierarchy_queries, mapping_queries, metadata_queries, page_queries, plan_queries, report_queries, scalar_queries, section_queries  # noqa: F401
+from bindery.plans import acquire_queries, detect_queries, extra_queries, front_queries, hierarchy_queries, mapping_queries, metadata_queries, page_queries, parse_queries, plan_queries, report_queries, scalar_queries, section_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
