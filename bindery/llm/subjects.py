@@ -36,6 +36,7 @@ ROUNDS = 90
 RATE = 0.05
 DECAY = 1e-5
 PARTS = 8
+PACK = 4096  # documents in one row of arrays
 QUOTED = 8
 SPREAD = 0.2
 MIN_CODE = 4  # a shorter piece of code belongs to its sentence
@@ -215,15 +216,31 @@ class Model:
         return self
 
 
-def _arrays(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    flat, n, docs, y = [], [], [], []
+ARRAYS = {"flat": np.int32, "n": np.int32, "docs": np.int32, "y": np.float32}
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The documents of a partition as few rows of plain arrays, which each round reads without a step per document."""
+    rows: list[tuple[list[int], list[int], list[float]]] = []
+
+    def pack() -> pd.DataFrame:
+        parts = {"flat": [x for f, _, _ in rows for x in f], "n": [k for _, n, _ in rows for k in n], "docs": [len(n) for _, n, _ in rows], "y": [v for _, _, y in rows for v in y]}
+        return pd.DataFrame({k: [np.asarray(v, ARRAYS[k]).tobytes()] for k, v in parts.items()})
+
     for b in batches:
-        for f, k, t in zip(b["flat"], b["n"], b["y"]):
-            flat.append(np.asarray(f, np.int64))
-            n.append(np.asarray(k, np.int64))
-            docs.append(len(k))
-            y.append(np.asarray(t, np.float32))
-    return (np.concatenate(flat), np.concatenate(n), np.array(docs), np.stack(y)) if docs else None
+        for row in zip(b["flat"], b["n"], b["y"]):
+            rows.append(tuple(list(x) for x in row))
+            if len(rows) == PACK:
+                yield pack()
+                rows = []
+    if rows:
+        yield pack()
+
+
+def _arrays(b: pd.DataFrame, subjects: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for row in zip(*[b[k] for k in ARRAYS]):
+        flat, n, docs, y = (np.frombuffer(x, t) for x, t in zip(row, ARRAYS.values()))
+        yield flat.astype(np.int64), n.astype(np.int64), docs.astype(np.int64), y.reshape(-1, subjects)
 
 
 def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,7 +280,7 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, sub
 
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(known), "k")
     base = base.repartition(PARTS, "k").groupBy("k").agg(F.min("t").alias("t"), F.first("s").alias("s"))
-    data = cut(without_quotes(base, quoted).mapInPandas(encode, "flat array<int>, n array<int>, y array<float>"))
+    data = cut(without_quotes(base, quoted).mapInPandas(encode, "flat array<int>, n array<int>, y array<float>").mapInPandas(_packed, "flat binary, n binary, docs binary, y binary"))
     model = Model(subjects)
     if data.isEmpty():
         return model.bare()
@@ -271,12 +288,15 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, sub
         now = spark.sparkContext.broadcast((model.e, model.w, model.b))
 
         def gradient(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            x = _arrays(batches)
-            if x:
-                m = Model.__new__(Model)
-                m.e, m.w, m.b = now.value
-                g = np.concatenate([g.ravel() for g in m.gradient(*x)])
-                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "g": [g.astype(np.float32).tobytes()]})
+            m = Model.__new__(Model)
+            m.e, m.w, m.b = now.value
+            total = None
+            for b in batches:
+                for x in _arrays(b, len(subjects)):
+                    g = np.concatenate([g.ravel() for g in m.gradient(*x)]).astype(np.float32)
+                    total = g if total is None else total + g
+            if total is not None:
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "g": [total.tobytes()]})
 
         total = np.frombuffer(data.mapInPandas(gradient, "part int, g binary").repartition(1).mapInPandas(_added, "g binary").first()[0], np.float32)
         now.destroy()
