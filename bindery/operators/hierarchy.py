@@ -31,6 +31,11 @@ SEP = "\x1f"
 SCHEMA = "t string, a string, ord long, w long, step long, top string, up long, out string, path array<string>"
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts both sides: Spark takes a kept table for as small as its compressed files and would send the driver all of it."""
+    return df.hint("merge")
+
+
 def _compress(paths: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
@@ -80,7 +85,7 @@ def _forest(links: DataFrame, paths: bool, level: int = 0, before: int | None =
     parts = 1 if n <= ROWS_PER_TASK else max(partitions(spark), math.ceil(n / ROWS_PER_TASK))
     if level and before and n > ROWS_PER_TASK and n > 0.7 * before:
         far = links.select("t", F.col("a").alias("b"), F.col("b").alias("b2"), F.col("w").alias("w2"), F.col("seg").alias("seg2"))
-        joined = links.join(far, ["t", "b"], "left")
+        joined = links.join(by_merge(far), ["t", "b"], "left")
         on = F.col("b2").isNotNull()
         links = cut(joined.select("t", "a", F.when(on, F.col("b2")).otherwise(F.col("b")).alias("b"), "ord", F.when(on, F.col("w") + F.col("w2")).otherwise(F.col("w")).alias("w"), F.when(on, F.concat("seg2", "seg")).otherwise(F.col("seg")).alias("seg")))
     split = links.coalesce(1) if parts == 1 else links.repartitionByRange(parts, "t", "ord", "a")
@@ -92,13 +97,13 @@ def _forest(links: DataFrame, paths: bool, level: int = 0, before: int | None =
         return _apply(local, over, links, level, paths)
     own = links.select("t", "a", F.col("seg").alias("own"))
     by = local.select("t", F.col("a").alias("out"), F.col("top").alias("b"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.lit(True).alias("hit"))
-    met = cut(tops.join(by, ["t", "out"], "left").join(own, ["t", "a"]))
+    met = cut(tops.join(by_merge(by), ["t", "out"], "left").join(by_merge(own), ["t", "a"]))
     pending = met.where("hit is not null") if level else met
     none = F.lit(None).cast("array<string>")
     seg = F.when(F.col("hit").isNotNull(), F.concat(F.slice("path2", 2, F.greatest(F.size("path2") - 1, F.lit(0))), "own")).otherwise(F.col("own")) if paths else none
     onward = pending.where("hit is null or b is not null").select("t", "a", "b", "ord", (F.col("step") + F.coalesce("up2", F.lit(0))).alias("w"), seg.alias("seg"))
     # tops that end here and that others lead to go on with them; one that ends in a cycle goes on as a cycle of its own
-    asked = onward.select("t", F.col("b").alias("a")).distinct()
+    asked = by_merge(onward.select("t", F.col("b").alias("a")).distinct())
     ring = pending.where("hit is not null and b is null").select("t", "a", "ord")
     over = ring.join(asked, ["t", "a"], "left_anti").select("t", F.col("a").alias("top"), F.lit(None).cast("string").alias("end2"), F.lit(0).cast("long").alias("more"), F.lit(False).alias("lost2"), F.lit(True).alias("ring"), none.alias("path2"))
     onward = onward.unionByName(ring.join(asked, ["t", "a"], "left_semi").select("t", "a", F.col("a").alias("b"), "ord", F.lit(1).cast("long").alias("w"), none.alias("seg")))
@@ -115,7 +120,7 @@ def _forest(links: DataFrame, paths: bool, level: int = 0, before: int | None =
 
 def _apply(local: DataFrame, over: DataFrame, links: DataFrame, level: int, paths: bool) -> DataFrame:
     """The part's own results carried on by what is known about the tops that leave it."""
-    x = local.join(over, ["t", "top"], "left")
+    x = local.join(by_merge(over), ["t", "top"], "left")
     known = F.col("more").isNotNull()
     end = F.when(F.col("ring"), F.lit(None)).when(known, F.col("end2")).otherwise(F.col("top"))
     # in the levels above the first only orphans have no link out
@@ -125,7 +130,7 @@ def _apply(local: DataFrame, over: DataFrame, links: DataFrame, level: int, path
         path = F.when(F.col("path2").isNotNull(), F.concat("path2", F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))))).otherwise(F.col("path"))
         if level:  # the top's own link leads to a record that isn't among these links
             seg = links.select("t", F.col("a").alias("top"), F.col("seg").alias("_seg"))
-            x = x.join(seg, ["t", "top"], "left")
+            x = x.join(by_merge(seg), ["t", "top"], "left")
             path = F.when(F.col("path2").isNotNull(), path).when(known & ~F.col("ring"), F.concat(F.array("end2"), "_seg", F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))))).otherwise(path)
     return x.select("t", "a", end.alias("end"), F.when(end.isNull(), 0).otherwise(F.col("up") + F.coalesce("more", F.lit(0))).alias("depth"), lost.alias("lost"), F.when(end.isNull(), F.lit(None)).otherwise(path).alias("path"))
 
@@ -154,9 +159,9 @@ def _rings(links: DataFrame) -> DataFrame:
     now = cut(links.select("t", "a", "b", F.col("a").alias("least")))
     for _ in range(math.ceil(math.log2(n + 1)) + 1):
         far = now.select("t", F.col("a").alias("b"), F.col("b").alias("b2"), F.col("least").alias("l2"))
-        now = cut(now.join(far, ["t", "b"]).select("t", "a", F.col("b2").alias("b"), F.least("least", "l2").alias("least")))
+        now = cut(now.join(by_merge(far), ["t", "b"]).select("t", "a", F.col("b2").alias("b"), F.least("least", "l2").alias("least")))
     on = now.select("t", F.col("b").alias("a")).distinct()
-    return now.select("t", "a", "least").join(on, ["t", "a"], "left_semi")
+    return now.select("t", "a", "least").join(by_merge(on), ["t", "a"], "left_semi")
 
 
 def _links(df: DataFrame, by: list[str], rec: str, parent: str, order: str | None) -> DataFrame:
@@ -191,10 +196,10 @@ def hierarchy(df: DataFrame, by: list[str], rec: str, parent: str, order: str |
     done = all_.where("end is not null").select("t", "a", F.col("end").alias("root_id"), "depth", state.alias("state"), "path")
     stuck = all_.where("end is null").select("t", "a")
     if not stuck.isEmpty():
-        rest = cut(links.join(stuck, ["t", "a"], "left_semi"))
+        rest = cut(links.join(by_merge(stuck), ["t", "a"], "left_semi"))
         rings = cut(_rings(rest))
-        opened = rest.join(rings.select("t", "a", "least"), ["t", "a"], "left").select("t", "a", F.when(F.col("least").isNull(), F.col("b")).alias("b"), "ord", "w", "seg")
-        below = _forest(cut(opened), paths).join(rings.select("t", F.col("a").alias("end"), "least"), ["t", "end"])
+        opened = rest.join(by_merge(rings.select("t", "a", "least")), ["t", "a"], "left").select("t", "a", F.when(F.col("least").isNull(), F.col("b")).alias("b"), "ord", "w", "seg")
+        below = _forest(cut(opened), paths).join(by_merge(rings.select("t", F.col("a").alias("end"), "least")), ["t", "end"])
         kind = F.when(F.col("a") == F.col("end"), "cycle").otherwise("below_cycle")
         done = done.unionByName(below.select("t", "a", F.col("least").alias("root_id"), "depth", kind.alias("state"), "path"))
     out = [F.split("t", SEP)[i].alias(c) for i, c in enumerate(by)] + [F.col("a").alias("rec_id"), "root_id", F.col("depth").cast("int").alias("depth"), "state"]

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions.text import trim
-from bindery.operators.hierarchy import hierarchy
+from bindery.operators.hierarchy import by_merge, hierarchy
+from bindery.session import kept
 
 NODE = ["doc_id", "node_id"]
 
@@ -58,14 +59,22 @@ def validate(nodes: DataFrame, books: DataFrame, omitted: DataFrame, promotions:
 def promote(nodes: DataFrame) -> DataFrame:
     """``doc_id, node_id, parent_id``: nodes with a destination below their nearest ancestor that has one.
 
-    Records whose parents end in a missing one or in a cycle become top level
-    where no ancestor with a destination is found.
+    Nodes that lead into a cycle are left out. Records whose parents end in a
+    missing one become top level where no ancestor with a destination is found.
+    A repeated id has a destination if one of its rows has; each such row stays
+    a row. Paths aren't needed: the nodes without a destination are a forest of
+    their own, and the parent of its top is the ancestor of all below.
     """
-    paths = hierarchy(nodes, ["doc_id"], "node_id", "parent_id", "ord", paths=True).select("doc_id", F.col("rec_id").alias("node_id"), "path")
-    kept = nodes.where("dest is not null").select(*NODE)
-    up = paths.join(kept, NODE, "left_semi").select(*NODE, F.posexplode("path").alias("at", "up")).where("up <> node_id")
-    best = up.join(kept.select("doc_id", F.col("node_id").alias("up")), ["doc_id", "up"], "left_semi").groupBy(*NODE).agg(F.max_by("up", "at").alias("parent_id"))
-    return kept.join(best, NODE, "left").select(*NODE, "parent_id")
+    link = F.min(F.struct(F.nullif("parent_id", F.lit("")).alias("parent_id"), "ord")).alias("link")
+    ids = kept(nodes.groupBy(*NODE).agg(link, F.count("dest").alias("n")).select(*NODE, "link.parent_id", "link.ord", "n"))
+    stay, gone = ids.where("n > 0"), ids.where("n = 0")
+    stuck = hierarchy(ids, ["doc_id"], "node_id", "parent_id", "ord").where("state in ('cycle', 'below_cycle')").select("doc_id", F.col("rec_id").alias("node_id"))
+    tops = hierarchy(gone, ["doc_id"], "node_id", "parent_id", "ord").where("state = 'orphan'").select("doc_id", F.col("rec_id").alias("up"), F.col("root_id").alias("node_id"))
+    past = tops.join(by_merge(gone.select(*NODE, "parent_id")), NODE).select("doc_id", "up", F.col("parent_id").alias("node_id")).join(by_merge(stay.select(*NODE)), NODE, "left_semi")
+    above = stay.select("doc_id", F.col("node_id").alias("up"), F.col("node_id").alias("parent_id")).unionByName(past.select("doc_id", "up", F.col("node_id").alias("parent_id")))
+    named = F.when(F.col("node_id").isNotNull(), F.col("parent_id"))
+    x = stay.select(*NODE, named.alias("up"), "n").join(by_merge(above), ["doc_id", "up"], "left").join(by_merge(stuck), NODE, "left_anti")
+    return x.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(*NODE, "parent_id")
 
 
 def outline_links(nodes: DataFrame) -> DataFrame:
